@@ -54,7 +54,8 @@ from lines l join problems b on l.row_id = b.row_id join responses_text t on l.r
     # scored log: the scorer in SQL; null where the target is not a number
     "scored": r"""
 select *, case when try_cast(target as double) is null then null
-               when not regexp_matches(num, '^-?[0-9]+[.]?[0-9]*$') or regexp_matches(num, '^-?0+[1-9][0-9]*$') then false
+               when num is null or not regexp_matches(num, '^-?[0-9]+[.]?[0-9]*$')
+                 or regexp_matches(num, '^-?0+[1-9][0-9]*$') then false
                else try_cast(num as double) = try_cast(target as double) end as ok
 from (select *, regexp_extract(replace(
         case when contains(answer, ' Therefore, the answer (arabic numerals) is')

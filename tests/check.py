@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
@@ -24,39 +23,37 @@ def connect(sf_dir: str):
     return con
 
 
-def plain(v):
-    if v is None:
-        return "~"
-    if isinstance(v, bool):
-        return str(v)
-    if isinstance(v, float):
-        return "~" if math.isnan(v) else repr(float(f"{v:.9g}"))
-    if isinstance(v, int):
-        return repr(float(f"{v:.17g}")) if False else str(v)
-    return str(v)
-
-
-def rows_of(columns, rows):
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return [columns[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rows)
-
-
 def compare(spark, con, fn, sql, sf_dir):
+    """Bag equality of both results, compared inside DuckDB; doubles to nine significant digits."""
     start = time.time()
-    df = fn(spark, sf_dir)
-    got = df.collect()
+    mine = fn(spark, sf_dir).toArrow()
     middle = time.time()
-    names, mine = rows_of(df.columns, got)
     if sql is None:
-        return len(mine) > 0, f"rows only: {len(mine)} rows, {middle - start:.1f}s"
-    cur = con.execute(sql)
-    other_names, other = rows_of([d[0] for d in cur.description], cur.fetchall())
-    note = f"{len(mine)} rows, spark {middle - start:.1f}s, duckdb {time.time() - middle:.1f}s"
-    if names != other_names:
-        return False, f"columns differ: {names} / {other_names}"
-    if mine != other:
-        odd = [(a, b) for a, b in zip(mine, other) if a != b][:2]
-        return False, f"{note}; duckdb {len(other)} rows; first differences {odd}"
+        return mine.num_rows > 0, f"rows only: {mine.num_rows} rows, {middle - start:.1f}s"
+    con.register("mine", mine)
+    con.execute(f"create or replace temp table other as {sql}")
+    n = con.execute("select count(*) from other").fetchall()[0][0]
+    note = f"{mine.num_rows} rows, spark {middle - start:.1f}s, duckdb {time.time() - middle:.1f}s"
+    types = {
+        t: {r[0]: r[1] for r in con.execute(f"describe {t}").fetchall()} for t in ("mine", "other")
+    }
+    if sorted(types["mine"]) != sorted(types["other"]):
+        return False, f"columns differ: {types}"
+    floating = lambda c: any(types[t][c] in ("DOUBLE", "FLOAT") for t in types)
+    shown = ", ".join(
+        (f"format('{{:.9g}}', cast(\"{c}\" as double))" if floating(c) else f'cast("{c}" as varchar)') + f' as "{c}"'
+        for c in sorted(types["mine"])
+    )
+    diffs = [
+        con.execute(
+            f"select * from (select {shown} from {a} except all select {shown} from {b}) limit 2"
+        ).fetchall()
+        for a, b in (("mine", "other"), ("other", "mine"))
+    ]
+    kinds = {c: (types["mine"][c], types["other"][c]) for c in types["mine"] if types["mine"][c] != types["other"][c]}
+    note += f" types {kinds}" if kinds else ""
+    if any(diffs) or n != mine.num_rows:
+        return False, f"{note}; duckdb {n} rows; first differences {diffs}"
     return True, note
 
 
