@@ -126,18 +126,19 @@ def sample_membership(spark, sf_dir):
 
 
 @query("collect_failures", candidates_sql(
-    "(select row_id as id, coalesce(answer, '') as text from response_log)") + "," + outputs_sql("any", ["add1"]) + """
+    "(select row_id as id, concat(answer, ' ', target) as text from response_log)") + "," + outputs_sql("copy", ["add1"]) + """
 select r.question, case when c.n is null then 'no number at this position' else 'number has no changed form' end as reason
-from response_log r left join (select id, count(*) as n from cands where position = 'any' group by id) c on c.id = r.row_id
-where coalesce(r.answer, '') <> '' and r.row_id not in (select id from outputs)""", "response_log")
+from response_log r left join (select id, count(*) as n from cands where position = 'copy' group by id) c on c.id = r.row_id
+where r.answer is not null and r.row_id not in (select id from outputs)""", "response_log")
 def collect_failures(spark, sf_dir):
-    """Answers as reasoning: those without a changeable number fail, with the reason."""
+    """Answer and target as reasoning: a wrong answer has no copied number, so it fails, with the reason."""
     from slipmark.functions.numbers import select_candidates
 
-    log = V.response_log(spark, sf_dir).select("row_id", "question", F.coalesce("answer", F.lit("")).alias("t"))
+    log = V.response_log(spark, sf_dir).where("answer is not null")
+    log = log.select("row_id", "question", F.concat("answer", F.lit(" "), "target").alias("t"))
     made = stored(log.select(
-        "question", number_intervention(F.col("row_id"), F.col("t"), "any", "add1").alias("made"),
-        F.size(select_candidates(F.col("t"), "any")).alias("n")), "made")
+        "question", number_intervention(F.col("row_id"), F.col("t"), "copy", "add1").alias("made"),
+        F.size(select_candidates(F.col("t"), "copy")).alias("n")), "made")
     reason = F.when(F.col("n") == 0, "no number at this position").otherwise("number has no changed form")
     return joins.failures(made, "question", F.col("made"), reason)
 
