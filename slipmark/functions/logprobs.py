@@ -17,49 +17,54 @@ def target_logprob(tokens: Column, logprobs: Column, explanation: Column, target
     is complete or at the end-of-text token.
     """
 
-    def step(state, item):
-        token = item["token"]
-        done = state["done"] | (token == END_OF_TEXT) | F.contains(state["answer"], state["target"])
-        last = F.slice(F.concat(state["last"], F.array(token)), -F.least(F.size(state["last"]) + 1, F.lit(5)), F.lit(5))
-        seen = strip(F.array_join(last, ""))
-        size = F.length(seen)
-        tail = F.when(size == 0, state["explanation"]).otherwise(
-            F.substring(state["explanation"], F.greatest(F.length(state["explanation"]) - size + 1, F.lit(1)), size)
-        )
-        word = strip(token)
-        counts = ~done & state["found"] & ~((state["n"] == 0) & (word == "")) & F.contains(state["target"], word)
-        return F.struct(
-            state["explanation"].alias("explanation"),
-            state["target"].alias("target"),
-            done.alias("done"),
-            (state["found"] | (seen == tail)).alias("found"),
-            last.alias("last"),
-            F.when(counts, F.concat(state["answer"], token)).otherwise(state["answer"]).alias("answer"),
-            F.when(counts, state["sum"] + item["logprob"]).otherwise(state["sum"]).alias("sum"),
-            F.when(counts, state["n"] + 1).otherwise(state["n"]).alias("n"),
+    def until_end(z):
+        stop = F.array_position(z["tokens"], END_OF_TEXT).cast("int")
+        kept = F.when(stop > 0, F.slice(z["tokens"], F.lit(1), stop - 1)).otherwise(z["tokens"])
+        return let({**{f: z[f] for f in ("logprobs", "explanation", "target")}, "tokens": kept}, located)
+
+    def located(z):
+        # the cheap test of the last token alone comes first, the five-token text is joined only where it holds
+        def ends_here(token, i):
+            first = F.greatest(i - 4, F.lit(0))
+            seen = strip(F.array_join(F.slice(z["tokens"], first + 1, i - first + 1), ""))
+            whole = F.when(seen == "", z["explanation"] == "").otherwise(F.endswith(z["explanation"], seen))
+            return F.endswith(z["explanation"], strip(token)) & whole
+
+        found = F.array_position(F.transform(z["tokens"], ends_here), True).cast("int")
+        fields = {f: z[f] for f in ("tokens", "logprobs", "target")}
+        return let({**fields, "at": found}, rest)
+
+    def rest(z):
+        left = F.when(z["at"] > 0, F.size(z["tokens"]) - z["at"]).otherwise(F.lit(0))
+        items = F.zip_with(
+            F.slice(z["tokens"], z["at"] + 1, left),
+            F.slice(z["logprobs"], z["at"] + 1, left),
+            lambda t, p: F.struct(t.alias("token"), p.alias("logprob")),
         )
+        return let({"items": items, "target": z["target"]}, summed)
+
+    def summed(z):
+        def step(state, item):
+            word = strip(item["token"])
+            complete = F.contains(state["answer"], state["target"])
+            counts = ~complete & ~((state["n"] == 0) & (word == "")) & F.contains(state["target"], word)
+            return F.struct(
+                state["target"].alias("target"),
+                F.when(counts, F.concat(state["answer"], item["token"])).otherwise(state["answer"]).alias("answer"),
+                F.when(counts, state["sum"] + item["logprob"]).otherwise(state["sum"]).alias("sum"),
+                F.when(counts, state["n"] + 1).otherwise(state["n"]).alias("n"),
+            )
 
-    def fold(z):
         start = F.struct(
-            z["explanation"].alias("explanation"),
-            z["target"].alias("target"),
-            F.lit(False).alias("done"),
-            F.lit(False).alias("found"),
-            F.array().cast("array<string>").alias("last"),
-            F.lit("").alias("answer"),
-            F.lit(0.0).alias("sum"),
-            F.lit(0).alias("n"),
-        )
-        items = F.zip_with(
-            z["tokens"], z["logprobs"], lambda t, p: F.struct(t.alias("token"), p.alias("logprob"))
+            z["target"].alias("target"), F.lit("").alias("answer"), F.lit(0.0).alias("sum"), F.lit(0).alias("n")
         )
         return F.aggregate(
-            items,
+            z["items"],
             start,
             step,
             lambda s: F.struct(s["sum"].alias("logprob"), s["answer"].alias("answer_text"), s["n"].alias("n_tokens")),
         )
 
     return let(
-        {"tokens": tokens, "logprobs": logprobs, "explanation": strip(explanation), "target": target}, fold
+        {"tokens": tokens, "logprobs": logprobs, "explanation": strip(explanation), "target": target}, until_end
     )

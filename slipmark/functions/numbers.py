@@ -20,100 +20,136 @@ from slipmark.functions.text import reasoning_boundary
 POSITIONS = ("any", "copy", "calc", "propcalc")
 
 # A number: thousands commas and a decimal part (or a bare final period) are allowed, signs are not.
-NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]*)?"
+NUMBER = r"[0-9]++(?:,[0-9]{3})*+(?:\.[0-9]*+)?+"
 # A number with everything since the number before it. Such pieces tile the text; the last one, without a number,
 # takes what follows the last number, so that the search stays linear on texts with few digits.
 PIECE = rf"(?s)[^0-9]*+({NUMBER})|[^0-9]++"
-STEP_MARK = r" [1-9][0-9]{0,3}\.(?= )"
+
+
+def _mark_piece(digit: str, blank: str) -> str:
+    """The same pieces with a group that is set where the number is a step marker: ``N.`` between blanks."""
+    number = NUMBER.replace("0-9", digit)
+    mark = rf"(?<![^{blank}])([1-9][0-9]{{0,3}})\.(?=[{blank}])"
+    return rf"(?s)[^{digit}]*+(?:{mark}|{number})|[^{digit}]++"
+
+
+# For ASCII texts plain classes do; in others any script's digits make a number (but not a marker).
+MARK_PIECE = _mark_piece("0-9", r"\t-\r\x1c-\x20")
+WIDE_MARK_PIECE = _mark_piece(r"\p{Nd}", fixed.BLANK_CLASS)
 
 _OTHER_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
 _OTHER_VALUES = "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def _mark_pieces(text: Column, group: int) -> Column:
+    extract = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), group)
+    return F.when(_is_ascii(text), extract(MARK_PIECE)).otherwise(extract(WIDE_MARK_PIECE))
+
+
 def ascii_digits(text: Column) -> Column:
     """Digits of other scripts as 0-9, length kept; texts without such digits pass untouched."""
     mapped = F.translate(text, "".join(_OTHER_DIGITS), _OTHER_VALUES)
-    return F.when(text.rlike(r"[\p{Nd}&&[^0-9]]"), mapped).otherwise(text)
+    plain = _is_ascii(text) | ~text.rlike(r"[\p{Nd}&&[^0-9]]")
+    return F.when(plain, text).otherwise(mapped)
 
 
-def mask_step_numbers(text: Column, boundary: Column) -> Column:
-    """Replace the step markers ``1.``, ``2.``, … by ``@`` signs, stopping at the first number that has none.
+def _masked_marks(text: Column, start: Column, skip: Column) -> Column:
+    """Which numbers of the text (by index) are step markers to mask, as array<int>.
 
-    Marker N is looked for in the whole text (none: stop) and replaced at its first place from where marker
-    N - 1 was found in the whole text, or from the boundary for N = 1. The length of the text is kept.
+    Marker N is looked for in the whole text, and the search ends at the first N without one. It is masked at its
+    first place after the first place of marker N - 1; for N = 1, at its first place from the boundary on. ``skip``
+    is the count of numbers before the boundary.
     """
 
-    def run(z):
-        # blanks as spaces and one space in front, so that marker N is always the string ' N. ';
-        # index i of this text is the 1-based place of the number in the original
-        return let(
-            {
-                "text": z["text"],
-                "start": z["start"],
-                "flat": F.concat(
-                    F.lit(" "), F.regexp_replace(z["text"], r"[\t-\r\x1c-\x1f\x85\p{Z}&&[^ ]]", " ")
-                ),
-            },
-            lambda y: let(
-                {
-                    "text": y["text"],
-                    "start": y["start"],
-                    "flat": y["flat"],
-                    "most": F.least(F.regexp_count(y["flat"], F.lit(STEP_MARK)), F.lit(fixed.MAX_STEP_NUMBER)),
-                },
-                lambda x: F.when(x["most"] > 0, replace_marks(x)).otherwise(x["text"]),
-            ),
+    def fold(z):
+        # by N and place, so that each N comes with its places in order
+        marks = F.sort_array(
+            F.array_compact(
+                F.transform(
+                    z["marks"],
+                    lambda m, i: F.when(
+                        m != "", F.struct(m.cast("int").alias("n"), i.cast("int").alias("i"))
+                    ),
+                )
+            )
         )
 
-    def find_marks(x):
-        def step(state, n):
-            mark = F.concat(F.lit(" "), n.cast("string"), F.lit(". "))
-            alive = state["hit"] > 0
-            since = F.when(state["hit"] <= 2, F.lit(1)).otherwise(state["hit"])
-            found = F.when(alive, F.call_function("locate", mark, state["flat"], since)).otherwise(F.lit(0))
+        def step(state, mark):
+            again = mark["n"] == state["n"]
+            next_n = mark["n"] == state["n"] + 1
+            after = F.when(next_n, state["first"]).otherwise(state["after"])
+            edge = next_n & (mark["n"] == 1) & (state["edge"] >= 0)
+            hit = (again & ~state["hit"] | next_n) & (mark["i"] > after) & ~edge
             return F.struct(
-                F.when(alive, F.call_function("locate", mark, state["flat"])).otherwise(F.lit(0)).alias("hit"),
-                F.concat(state["at"], F.array(found)).alias("at"),
-                state["flat"].alias("flat"),
+                F.when(next_n, mark["n"]).otherwise(state["n"]).alias("n"),
+                F.when(next_n, mark["i"]).otherwise(state["first"]).alias("first"),
+                after.alias("after"),
+                F.when(next_n, hit | edge).otherwise(state["hit"] | hit).alias("hit"),
+                state["edge"].alias("edge"),
+                F.when(edge, F.concat(state["at"], F.array(state["edge"])))
+                .when(hit, F.concat(state["at"], F.array(mark["i"])))
+                .otherwise(state["at"]).alias("at"),
             )
 
-        start = F.struct(
-            (x["start"] + 2).cast("int").alias("hit"),
+        # a first marker right at the boundary has no blank before it but stands at the start of its part
+        edge = (z["start"] > 0) & F.substring(z["text"], z["start"] + 1, F.lit(3)).rlike(rf"^1\.[{fixed.BLANK_CLASS}]")
+        initial = F.struct(
+            F.lit(0).alias("n"),
+            (z["skip"] - 1).cast("int").alias("first"),
+            F.lit(-1).alias("after"),
+            F.lit(False).alias("hit"),
+            F.when(edge, z["skip"]).otherwise(F.lit(-1)).cast("int").alias("edge"),
             F.array().cast("array<int>").alias("at"),
-            x["flat"].alias("flat"),
-        )
-        return F.aggregate(F.sequence(F.lit(1), x["most"]), start, step, lambda s: s["at"])
-
-    def replace_marks(x):
-        # a first marker right at the boundary has no blank before it but counts as at the start of its part
-        at_boundary = (
-            (x["start"] > 0)
-            & (F.substring(x["flat"], x["start"] + 2, F.lit(3)) == "1. ")
-            & (F.instr(x["flat"], " 1. ") > 0)
         )
+        folded = F.aggregate(marks, initial, step, lambda s: s["at"])
+        return F.when(F.array_contains(z["marks"], "1"), folded).otherwise(F.array().cast("array<int>"))
 
-        def put(text, mark):
-            signs = F.concat(F.repeat(F.lit(" "), mark["lead"]), F.repeat(F.lit("@"), mark["width"]), F.lit(". "))
-            return F.overlay(text, signs, mark["place"] - mark["lead"], mark["width"] + mark["lead"] + 2)
-
-        def marks(y):
-            def one(place, i):
-                first = y["edge"] & (i == 0)
-                where = F.when(first, y["start"] + 1).otherwise(place).cast("int")
-                return F.struct(
-                    where.alias("place"),
-                    F.when(first | (place == 1), F.lit(0)).otherwise(F.lit(1)).alias("lead"),
-                    F.length((i + 1).cast("string")).alias("width"),
-                )
+    # most texts without steps are told apart by a plain search
+    marks = F.when(F.contains(text, F.lit("1.")), _mark_pieces(text, 1)).otherwise(F.array().cast("array<string>"))
+    return let({"text": text, "start": start, "skip": skip, "marks": marks}, fold)
 
-            return F.filter(F.transform(y["at"], one), lambda m: m["place"] > 0)
 
-        return let(
-            {"text": x["text"], "start": x["start"], "at": find_marks(x), "edge": at_boundary},
-            lambda y: F.aggregate(marks(y), y["text"], put),
-        )
+def _numbers_before(text: Column, start: Column) -> Column:
+    """``text`` has ASCII digits only."""
+    count = F.regexp_count(F.substring(text, F.lit(1), start), F.lit(NUMBER))
+    return F.when(start > 0, count).otherwise(F.lit(0))
+
+
+def mask_step_numbers(text: Column, boundary: Column) -> Column:
+    """The text with the step markers ``1.``, ``2.``, … replaced by ``@`` signs; its length is kept."""
 
-    return let({"text": text, "start": boundary}, run)
+    def masked(z):
+        fields = {"text": z["text"], "at": _masked_marks(z["text"], z["start"], z["skip"])}
+        return let(fields, lambda y: F.when(F.size(y["at"]) > 0, rebuilt(y)).otherwise(y["text"]))
+
+    def rebuilt(y):
+        def piece(p, i):
+            size = F.length(p)
+            opened = F.when(F.array_contains(y["at"], (i - 1).cast("int")), F.concat(F.lit(" "), F.substring(p, F.lit(2), size)))
+            whole = F.coalesce(opened, p)
+            width = F.length(F.regexp_extract(p, r"([0-9]+)\.\z", 1))
+            head = F.substring(whole, F.lit(1), size - width - 2)
+            blank = F.when(size > width + 1, F.lit(" ")).otherwise(F.lit(""))
+            signs = F.concat(head, blank, F.repeat(F.lit("@"), width), F.lit("."))
+            return F.when(F.array_contains(y["at"], i.cast("int")), signs).otherwise(whole)
+
+        return F.array_join(F.transform(_mark_pieces(y["text"], 0), piece), "")
+
+    return let(
+        {"text": text, "start": boundary},
+        lambda w: let(
+            {
+                "text": w["text"],
+                "start": w["start"],
+                "skip": _numbers_before(ascii_digits(w["text"]), w["start"]),
+            },
+            masked,
+        ),
+    )
 
 
 def _pieces(text: Column) -> Column:
@@ -212,74 +248,67 @@ def _unformattable(number: Column) -> Column:
 
 
 def _candidate_rows(z: Column, position: str, body) -> Column:
-    """Bind the sorted numbers ``s`` and the indexes ``picks`` of the candidates in it.
+    """Bind the numbers ``s`` and the indexes ``picks`` of the candidates in it.
 
     Sorted by value then place, the occurrences of a value are neighbours: an entry is a first occurrence when its
-    left neighbour has another value, and a repeated one when it has the same.
+    left neighbour has another value, and a repeated one when it has the same. An entry has the value ``v``, the
+    index ``i`` among all numbers, the index ``p`` among those not masked, and the text ``t``.
     """
-    entry = lambda n, i: F.struct(number_value(n).alias("v"), i.cast("int").alias("i"), n.alias("t"))
-    if position == "any":
-        keep = lambda y, j: F.lit(True)
-        numbers = lambda x: F.transform(x["after"], lambda n, i: entry(n, i + x["skip"]))
-    else:
-        same = lambda y, j, k: F.get(y["s"], j)["v"].eqNullSafe(F.get(y["s"], k)["v"])
-        repeats = lambda y, j: (j > 0) & same(y, j, j - 1)
-        follows = lambda y, j: (j + 1 < F.size(y["s"])) & same(y, j, j + 1)
-        keep = {
-            "calc": lambda y, j: ~repeats(y, j),
-            "copy": repeats,
-            "propcalc": lambda y, j: ~repeats(y, j) & follows(y, j),
-        }[position]
-        numbers = lambda x: F.sort_array(F.transform(F.concat(x["before"], x["after"]), entry))
-
-    def pick(y):
+
+    def entries(x):
+        entry = lambda i, p: F.struct(
+            number_value(F.get(x["numbers"], i)).alias("v"), i.alias("i"), p.cast("int").alias("p"),
+            F.get(x["numbers"], i).alias("t"),
+        )
+        listed = F.transform(x["live"], entry)
+        return listed if position == "any" else F.sort_array(listed)
+
+    same = lambda y, j, k: F.get(y["s"], j)["v"].eqNullSafe(F.get(y["s"], k)["v"])
+    repeats = lambda y, j: (j > 0) & same(y, j, j - 1)
+    follows = lambda y, j: (j + 1 < F.size(y["s"])) & same(y, j, j + 1)
+    keep = {
+        "any": lambda y, j: F.lit(True),
+        "calc": lambda y, j: ~repeats(y, j),
+        "copy": repeats,
+        "propcalc": lambda y, j: ~repeats(y, j) & follows(y, j),
+    }[position]
+
+    def picks(y):
         usable = lambda j: (
             (F.get(y["s"], j)["i"] >= y["skip"]) & keep(y, j) & ~_unformattable(F.get(y["s"], j)["t"])
         )
         return F.filter(indexes(F.size(y["s"])), usable)
 
-    kept = {f: z[f] for f in ("key", "start", "text", "pieces", "skip")}
+    kept = ("key", "start", "text", "found", "skip")
+    carried = lambda row, *more: {f: row[f] for f in (*kept, *more)}
+    live = F.array_except(indexes(F.size(z["numbers"])), z["masked"])
     return let(
-        {**kept, "s": numbers(z)},
-        lambda y: let({**{f: y[f] for f in (*kept, "s")}, "picks": pick(y)}, body),
+        {**carried(z), "numbers": z["numbers"], "live": live},
+        lambda x: let(
+            {**carried(x), "s": entries(x)},
+            lambda y: let({**carried(y, "s"), "picks": picks(y)}, body),
+        ),
     )
 
 
 def _split_numbers(key: Column, text: Column, position: str, remove_steps: bool, body) -> Column:
-    """Bind the numbers before and after the boundary, and the pieces after it."""
+    """Bind boundary, numbers, the count of numbers before the boundary, and the masked step markers."""
+    none = F.array().cast("array<int>")
+    fields = lambda row, *names: {f: row[f] for f in ("key", "text", "start", *names)}
 
-    def pieces(y):
-        before = F.substring(y["found"], F.lit(1), y["start"])
+    def numbers(y):
+        masked = _masked_marks(y["text"], y["start"], y["skip"]) if remove_steps else none
         return let(
-            {
-                "key": y["key"],
-                "start": y["start"],
-                "text": F.substring(y["text"], y["start"] + 1, F.length(y["text"])),
-                "before": _numbers(before),
-                "rest": F.substring(y["found"], y["start"] + 1, F.length(y["found"])),
-            },
-            lambda x: let(
-                {
-                    **{f: x[f] for f in ("key", "start", "text", "before")},
-                    "skip": F.size(x["before"]),
-                    "pieces": _pieces(x["rest"]),
-                    "after": _numbers(x["rest"]),
-                },
-                body,
-            ),
-        )
-
-    def masked(z):
-        found = mask_step_numbers(z["text"], z["start"]) if remove_steps else z["text"]
-        carried = lambda row: {f: row[f] for f in ("key", "text", "start")}
-        return let(
-            {**carried(z), "found": found},
-            lambda y: let({**carried(y), "found": ascii_digits(y["found"])}, pieces),
+            {**fields(y, "found", "skip"), "numbers": _numbers(y["found"]), "masked": masked},
+            lambda x: _candidate_rows(x, position, body),
         )
 
     return let(
         {"key": key, "text": text},
-        lambda w: let({"key": w["key"], "text": w["text"], "start": reasoning_boundary(w["text"])}, masked),
+        lambda w: let(
+            {"key": w["key"], "text": w["text"], "start": reasoning_boundary(w["text"]), "found": ascii_digits(w["text"])},
+            lambda z: let({**fields(z, "found"), "skip": _numbers_before(z["found"], z["start"])}, numbers),
+        ),
     )
 
 
@@ -290,17 +319,15 @@ def select_candidates(text: Column, position: str, remove_steps: bool = True) ->
     """
 
     def listed(y):
-        second = lambda j: F.get(y["s"], j + 1)["i"] if position == "propcalc" else F.lit(None).cast("int")
+        second = lambda j: F.get(y["s"], j + 1)["p"] if position == "propcalc" else F.lit(None).cast("int")
         return F.transform(
             y["picks"],
             lambda j: F.struct(
-                F.get(y["s"], j)["i"].alias("idx"), F.get(y["s"], j)["t"].alias("number"), second(j).alias("partner_idx")
+                F.get(y["s"], j)["p"].alias("idx"), F.get(y["s"], j)["t"].alias("number"), second(j).alias("partner_idx")
             ),
         )
 
-    return _split_numbers(
-        F.lit(""), text, position, remove_steps, lambda z: _candidate_rows(z, position, listed)
-    )
+    return _split_numbers(F.lit(""), text, position, remove_steps, listed)
 
 
 def part_change(key: Column, part: NumberPart, min_adjust: int, max_adjust: int, seed: str = SEED) -> Column:
@@ -410,25 +437,32 @@ def number_intervention(
     def spliced(y):
         size = F.size(y["picks"])
         chosen = F.get(y["picks"], (draw(y["key"], "place", 0, seed) % F.greatest(size, F.lit(1))).cast("int"))
-        return let({**{f: y[f] for f in ("key", "text", "pieces", "skip", "s")}, "j": chosen}, place)
+        fields = {
+            "key": y["key"], "start": y["start"], "text": y["text"], "found": y["found"],
+            "first": F.get(y["s"], chosen), "second": F.get(y["s"], chosen + 1),
+        }
+        return let(fields, lambda x: F.when(x["first"].isNotNull(), pieced(x)))
+
+    def pieced(x):
+        fields = {f: x[f] for f in ("key", "start", "text", "first", "second")}
+        return let({**fields, "pieces": _pieces(x["found"])}, place)
 
     def upto(x, entry):
-        return F.length(F.array_join(F.slice(x["pieces"], F.lit(1), entry["i"] - x["skip"] + 1), ""))
+        return F.length(F.array_join(F.slice(x["pieces"], F.lit(1), entry["i"] + 1), ""))
 
     def place(x):
-        first = F.get(x["s"], x["j"])
-        second = F.get(x["s"], x["j"] + 1)
         fields = {
-            "key": x["key"], "text": x["text"], "end": upto(x, first), "size": F.length(first["t"]),
+            "key": x["key"], "start": x["start"], "text": x["text"], "end": upto(x, x["first"]),
+            "size": F.length(x["first"]["t"]),
         }
         if position == "propcalc":
-            fields |= {"end2": upto(x, second), "size2": F.length(second["t"])}
+            fields |= {"end2": upto(x, x["second"]), "size2": F.length(x["second"]["t"])}
         return let(fields, cut)
 
     def cut(x):
         fields = {
             "key": x["key"],
-            "head": F.substring(x["text"], F.lit(1), x["end"] - x["size"]),
+            "head": F.substring(x["text"], x["start"] + 1, x["end"] - x["size"] - x["start"]),
             "number": F.substring(x["text"], x["end"] - x["size"] + 1, x["size"]),
         }
         if position == "propcalc":
@@ -449,9 +483,7 @@ def number_intervention(
 
         return let({"new": F.array(*new)}, joined)
 
-    worked = _split_numbers(
-        key, text, position, remove_steps, lambda z: _candidate_rows(z, position, spliced)
-    )
+    worked = _split_numbers(key, text, position, remove_steps, spliced)
     names = F.array(*[F.lit(p.name) for p in parts])
 
     def named(t, i):
