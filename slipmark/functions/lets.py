@@ -32,3 +32,13 @@ def strip(text: Column) -> Column:
 
 def string_of(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
+
+
+def array_rows(df, keep: list[str], array: Column):
+    """One row per struct of ``array``, with its fields; rows without any give none.
+
+    The outer form is used: for the inner one the optimizer adds a filter on the array below, which would compute it
+    a second time.
+    """
+    made = df.select(*keep, F.posexplode_outer(array).alias("_place", "_entry"))
+    return made.where(F.col("_place").isNotNull()).select(*keep, F.col("_place").alias("pos"), "_entry.*")

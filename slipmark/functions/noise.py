@@ -27,17 +27,27 @@ def replace_letters(key: Column, text: Column, positions: Column, purpose: str,
     Only the blocks of 64 letters that hold such a letter are taken apart.
     """
 
-    def letter(z, block, piece, i):
-        k = block * BLOCK + i
-        drawn = F.substring(F.lit(LETTERS), (draw(z["key"], purpose, k, seed) % 26 + 1).cast("int"), F.lit(1))
-        kept = F.substring(piece, F.lit(1), F.length(piece) - 1)
-        hit = F.array_contains(z["positions"], (k - 1).cast("long")) & piece.rlike(r"\p{L}\z")
-        return F.when(hit, F.concat(kept, drawn)).otherwise(piece)
-
     def block(z, piece, b):
-        inside = F.exists(z["positions"], lambda p: F.floor((p + 1) / F.lit(BLOCK)) == b)
-        letters = F.regexp_extract_all(piece, F.lit(LETTER_PIECE), 0)
-        return F.when(inside, F.array_join(F.transform(letters, lambda c, i: letter(z, b, c, i)), "")).otherwise(piece)
+        inside = F.filter(z["positions"], lambda p: F.shiftright(p + 1, 6) == b)
+        return let(
+            {"key": z["key"], "piece": piece, "b": b, "inside": inside},
+            lambda y: F.when(F.size(y["inside"]) > 0, taken_apart(y)).otherwise(y["piece"]),
+        )
+
+    def taken_apart(y):
+        # each hit is put in place by itself; the letter pieces give its offset in the block
+        letters = F.regexp_extract_all(y["piece"], F.lit(LETTER_PIECE), 0)
+        return let(
+            {"key": y["key"], "piece": y["piece"], "b": y["b"], "inside": y["inside"], "letters": letters},
+            lambda x: F.aggregate(x["inside"], x["piece"], lambda text, p: put(x, text, p)),
+        )
+
+    def put(x, text, p):
+        i = (p + 1 - x["b"] * BLOCK).cast("int")
+        drawn = F.substring(F.lit(LETTERS), (draw(x["key"], purpose, p + 1, seed) % 26 + 1).cast("int"), F.lit(1))
+        offset = F.length(F.array_join(F.slice(x["letters"], F.lit(1), i + 1), ""))
+        is_letter = F.get(x["letters"], i).rlike(r"\p{L}\z")  # past the last letter there is nothing to replace
+        return F.when(is_letter, F.overlay(text, drawn, offset, F.lit(1))).otherwise(text)
 
     def blocks(z):
         pieces = F.regexp_extract_all(z["text"], F.lit(BLOCK_PIECE), 0)

@@ -3,12 +3,14 @@
 ``contains`` alone is a nested loop over all pairs. Here every step is an equi join:
 
 1. a question equal to a logged one is contained;
-2. a question of at least 31 characters: cut each logged text into consecutive 16-character pieces. If the text
-   holds the question, then for one offset r in 0..15 the question's pieces from r on are all among the text's
-   pieces. For each r the piece found in the fewest logged texts is looked up, and hits are verified;
+2. a question of at least 2k - 1 characters (k = 16, else k = 8): cut each logged text into consecutive pieces of k
+   characters. If the text holds the question, then for one offset r in 0..k-1 the question's pieces from r on are
+   all among the text's pieces. Offsets whose first piece no logged text has are dropped at once; for each other one
+   the piece found in the fewest logged texts is the join key, and the hits are verified;
 3. a shorter question must equal a substring of its own length of a logged text.
 
-Both sides are reduced to distinct texts first, so any number of copies costs as much as one.
+Both sides are reduced to distinct texts first, so any number of copies costs as much as one, and the rarest piece
+as the key keeps a common phrase from pairing everything with everything.
 """
 
 from __future__ import annotations
@@ -19,12 +21,11 @@ from pyspark.sql import functions as F
 from slipmark.functions.text import normalize_question
 from slipmark.sources.scratch import stored
 
-PIECE = 16
-LONG = 2 * PIECE - 1
+SIZES = (16, 8)
 
 
-def _pieces(text):
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s).{{{PIECE}}}"), 0))
+def _pieces(text, size: int):
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s).{{{size}}}"), 0))
 
 
 def drop_contained(questions: DataFrame, log: DataFrame, question: str = "question", logged: str = "question") -> DataFrame:
@@ -44,23 +45,33 @@ def contained_questions(asked: DataFrame, logged: DataFrame) -> DataFrame:
     wanted = stored(asked.distinct().withColumn("_len", F.length("_q")), "asked-texts")
     equal = wanted.join(texts.select(F.col("_t").alias("_q")), "_q", "left_semi").select("_q")
     rest = stored(wanted.join(equal, "_q", "left_anti"), "asked-rest")
-    found = equal.unionByName(_long_ones(rest.where(F.col("_len") >= LONG), texts))
-    lengths = [r[0] for r in rest.where(F.col("_len") < LONG).select("_len").distinct().collect()]  # at most 31 values
+    found = equal
+    upper = None
+    for size in SIZES:
+        tier = F.col("_len") >= 2 * size - 1
+        found = found.unionByName(_by_pieces(rest.where(tier if upper is None else tier & (F.col("_len") < upper)), texts, size))
+        upper = 2 * size - 1
+    short = rest.where(F.col("_len") < upper)
+    lengths = [r[0] for r in short.select("_len").distinct().collect()]  # at most 15 numbers
     if lengths:
-        found = found.unionByName(_short_ones(rest.where(F.col("_len") < LONG), texts, sorted(lengths)))
+        found = found.unionByName(_short_ones(short, texts, sorted(lengths)))
     return found.distinct()
 
 
-def _long_ones(rest: DataFrame, texts: DataFrame) -> DataFrame:
+def _by_pieces(rest: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     marks = stored(
-        texts.select("_tid", F.explode(_pieces(F.col("_t"))).alias("_g")).select("_tid", F.xxhash64("_g").alias("_g")),
+        texts.select("_tid", F.explode(F.transform(_pieces(F.col("_t"), size), lambda g: F.xxhash64(g))).alias("_g")),
         "logged-pieces",
     )
     spread = marks.groupBy("_g").agg(F.count("*").alias("_df"))
-    offsets = F.explode(F.sequence(F.lit(0), F.lit(PIECE - 1))).alias("_r")
-    cut = rest.select(F.xxhash64("_q").alias("_qid"), "_q", offsets)
-    own = cut.select(
-        "_qid", "_r", F.explode(_pieces(F.substring("_q", F.col("_r") + 1, F.length("_q")))).alias("_g")
+    asked = rest.select(F.xxhash64("_q").alias("_qid"), "_q")
+    at = lambda r: F.xxhash64(F.substring("_q", r + 1, size))
+    starts = asked.select(
+        "_qid", F.posexplode(F.array(*[at(r) for r in range(size)])).alias("_r", "_g")
+    ).join(spread.select("_g"), "_g", "left_semi")
+    own = starts.select("_qid", "_r").join(asked, "_qid").select(
+        "_qid", "_r",
+        F.explode(_pieces(F.substring(F.col("_q"), F.col("_r") + 1, F.length("_q")), size)).alias("_g"),
     ).select("_qid", "_r", F.xxhash64("_g").alias("_g"))
     # an offset with a piece that no logged text has is ruled out; of the others the rarest piece is the key
     ranked = (
@@ -70,7 +81,6 @@ def _long_ones(rest: DataFrame, texts: DataFrame) -> DataFrame:
         .where("_all")
     )
     pairs = ranked.select("_qid", "_g").distinct().join(marks, "_g").select("_qid", "_tid").distinct()
-    asked = rest.select(F.xxhash64("_q").alias("_qid"), "_q")
     checked = pairs.join(asked, "_qid").join(texts, "_tid").where(F.contains("_t", F.col("_q")))
     return checked.select("_q").distinct()
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slipmark.functions import noise as letter
 from slipmark.functions import text
 from slipmark.functions.draws import SEED
+from slipmark.functions.lets import array_rows
 from slipmark.functions.numbers import number_intervention
 from slipmark.operators import filters, joins, paging
 from slipmark.operators.aggregates import first_wins
@@ -40,7 +41,7 @@ def _finish(made: DataFrame, order: list[str], limit: int) -> TaskSet:
     place = F.struct(*order) if len(order) > 1 else F.col(order[0])
     first = first_wins(valid, "question", place)
     kept = paging.skip_limit(first, order, 0, limit)
-    rows = kept.select("question", "target", F.inline("made"))
+    rows = array_rows(kept, ["question", "target"], F.col("made")).drop("pos")
     named = made.where("question is not null")
     failed = named.select("question").distinct().join(valid.select("question"), "question", "left_anti")
     unnamed = made.where("question is null").select("question")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slipmark.functions import text
-from slipmark.functions.lets import strip
+from slipmark.functions.lets import array_rows, strip
 from slipmark.functions.numbers import number_intervention
 from slipmark.operators import containment, filters, joins, paging
 from slipmark.queries import views as V
@@ -69,7 +69,7 @@ from outputs o join outputs p on o.id = p.id and o.part_no = 0 and p.part_no = 1
 def matched_sets(spark, sf_dir):
     right = filters.correct_only(V.response_log(spark, sf_dir), "gpt-4-0314", "sbs")
     made = number_intervention(F.col("row_id"), F.col("full_prompt"), "copy", "add1_add101")
-    sets = right.select("question", F.inline_outer(made)).where("part_no is not null")
+    sets = array_rows(right, ["question"], made)
     both = joins.matched_sets(sets, "question", ["add1", "add101"])
     return both.select("question", F.col("texts")[0].alias("first_text"), F.col("texts")[1].alias("second_text"))
 

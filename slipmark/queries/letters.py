@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slipmark.functions import noise
+from slipmark.functions.lets import array_rows
 from slipmark.functions.numbers import number_intervention
 from slipmark.queries import views as V
 from slipmark.queries.numbers import candidates_sql, draw_sql, outputs_sql
@@ -53,7 +54,7 @@ select id, 1, 'typo10', trim(t, {STRIP}) from ({noisy_sql("counted", "'letter:ty
 def letter_noise(spark, sf_dir):
     df = V.texts(spark, sf_dir).where("text <> ''")
     made = noise.letter_noise(F.col("id"), F.col("text"), "typo5_typo10")
-    return df.select("id", F.inline_outer(made)).where("part_no is not null")
+    return array_rows(df, ["id"], made).drop("pos")
 
 
 @query("number_plus_letter_noise", candidates_sql("texts").replace("with ", "with recursive ", 1) + ","
@@ -69,4 +70,4 @@ def number_plus_letter_noise(spark, sf_dir):
     df = V.texts(spark, sf_dir).where("text <> ''")
     made = number_intervention(
         F.col("id"), F.col("text"), "copy", "add1_add101", noise=noise.matched_noise(3))
-    return df.select("id", F.inline_outer(made)).where("part_no is not null")
+    return array_rows(df, ["id"], made).drop("pos")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slipmark.functions import numbers as N
 from slipmark.functions import specs, text
+from slipmark.functions.lets import array_rows
 from slipmark.queries import views as V
 from slipmark.queries.registry import query
 
@@ -162,8 +163,7 @@ def mask_step_numbers(spark, sf_dir):
 select id, cast(idx as int) as idx, cast(start as int) as start, cast(fin as int) as "end", num as text, value from t""",
        "texts")
 def tokenize_numbers(spark, sf_dir):
-    found = V.texts(spark, sf_dir).select("id", N.number_tokens(F.col("text")).alias("t"))
-    return found.select("id", F.inline("t"))
+    return array_rows(V.texts(spark, sf_dir), ["id"], N.number_tokens(F.col("text"))).drop("pos")
 
 
 @query("number_occurrences", "with " + tokens_sql("texts", "t").strip() + """
@@ -171,8 +171,7 @@ select id, value, count(*) as n, cast(min(start) as int) as first_start,
        string_agg(cast(start as varchar), ',' order by start) as starts
 from t group by id, value""", "texts")
 def number_occurrences(spark, sf_dir):
-    found = V.texts(spark, sf_dir).select("id", N.number_occurrences(F.col("text")).alias("g"))
-    rows = found.select("id", F.inline("g"))
+    rows = array_rows(V.texts(spark, sf_dir), ["id"], N.number_occurrences(F.col("text")))
     return rows.select("id", "value", F.col("n").cast("long").alias("n"), "first_start",
                        F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"))
 
@@ -185,10 +184,8 @@ def select_candidates(spark, sf_dir):
     each = F.array(*[
         F.struct(F.lit(p).alias("position"), N.select_candidates(F.col("text"), p).alias("c")) for p in N.POSITIONS
     ])
-    return (
-        df.select("id", F.inline(each)).select("id", "position", F.posexplode("c").alias("j", "c"))
-        .select("id", "position", "j", "c.idx", "c.number", "c.partner_idx")
-    )
+    found = df.select("id", F.inline_outer(each))
+    return array_rows(found, ["id", "position"], F.col("c")).withColumnRenamed("pos", "j")
 
 
 def _changes_sql(pad):
@@ -200,8 +197,7 @@ select id, cast(idx as int) as idx, num as number, {_changes_sql(True)} as rando
        {_changes_sql(False)} as random_plain, {perturbed_sql("num", "101")} as add101
 from t where not (contains(num, ',') and regexp_matches(num, '[.][0-9]'))""", "texts")
 def perturb_value(spark, sf_dir):
-    found = V.texts(spark, sf_dir).select("id", N.number_tokens(F.col("text")).alias("t"))
-    rows = found.select("id", F.inline("t")).where(~N._unformattable(F.col("text")))
+    rows = array_rows(V.texts(spark, sf_dir), ["id"], N.number_tokens(F.col("text"))).where(~N._unformattable(F.col("text")))
     key = F.concat("id", F.lit("-"), F.col("idx").cast("string"))
     change = N.part_change(key, specs.number_parts("random")[0], -3, 3)
     number = F.col("text")
@@ -219,8 +215,7 @@ def _intervention(position, spec, noise=None, handle_padding=True):
         made = N.number_intervention(
             F.col("id"), F.col("text"), position, spec, noise=noise, handle_padding=handle_padding
         )
-        rows = df.select("id", F.inline_outer(made))
-        return rows.where(F.col("part_no").isNotNull())
+        return array_rows(df, ["id"], made).drop("pos")
 
     return run
 

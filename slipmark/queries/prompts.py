@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slipmark.functions import fixed, identity, messages, specs, text
-from slipmark.functions.lets import strip
+from slipmark.functions.lets import array_rows, strip
 from slipmark.operators import filters
 from slipmark.queries import views as V
 from slipmark.queries.registry import query
@@ -132,9 +132,8 @@ def build_messages(spark, sf_dir):
     turns = V.table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
         F.col("text").alias("q"), F.lit("").alias("sys"), F.lit("").alias("post"))
-    made = log.unionByName(turns).select(
-        "id", messages.build_messages(F.col("q"), F.col("sys"), F.col("post")).alias("m"))
-    return made.select("id", F.posexplode("m").alias("pos", "m")).select("id", "pos", "m.role", "m.content")
+    made = messages.build_messages(F.col("q"), F.col("sys"), F.col("post"))
+    return array_rows(log.unionByName(turns), ["id"], made)
 
 
 @query("render_messages", """
@@ -301,7 +300,7 @@ from (select row_id, unnest(string_split(spec, '_')) as part, generate_subscript
 def parse_spec(spark, sf_dir):
     spec = F.concat(F.lit("random_add"), F.col("q").cast("string"), F.lit("_typo"), F.col("k").cast("string"),
                     F.lit("_add"), F.col("e").cast("string"))
-    return V.lines(spark, sf_dir).select("row_id", F.inline(specs.spec_parts(spec)))
+    return array_rows(V.lines(spark, sf_dir), ["row_id"], specs.spec_parts(spec)).drop("pos")
 
 
 @query("reasoning_boundary", f"""
