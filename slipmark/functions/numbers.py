@@ -133,7 +133,8 @@ def mask_step_numbers(text: Column, boundary: Column) -> Column:
             whole = F.coalesce(opened, p)
             width = F.length(F.regexp_extract(p, r"([0-9]+)\.\z", 1))
             head = F.substring(whole, F.lit(1), size - width - 2)
-            blank = F.when(size > width + 1, F.lit(" ")).otherwise(F.lit(""))
+            before = F.when(size > width + 1, F.substring(whole, size - width - 1, F.lit(1))).otherwise(F.lit(""))
+            blank = F.when((before != "") & (strip(before) == ""), F.lit(" ")).otherwise(before)
             signs = F.concat(head, blank, F.repeat(F.lit("@"), width), F.lit("."))
             return F.when(F.array_contains(y["at"], i.cast("int")), signs).otherwise(whole)
 
