@@ -23,6 +23,38 @@ def indexes(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+RUN = 256
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of an int array, in blocks: appending to one array all along would copy it once per entry."""
+    none = F.array().cast("array<int>")
+
+    def grow(items: Column, base: Column, size) -> Column:
+        """Append running totals, from ``base``; the last entry holds the total so far."""
+        add = lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), base) + size(v)))
+        return F.aggregate(items, none, add)
+
+    def blocks(z):
+        part = lambda b: F.slice(z["v"], b * RUN + 1, F.lit(RUN))
+        total = lambda b: F.aggregate(part(b), F.lit(0), lambda a, v: a + v)
+        count = F.ceil(F.size(z["v"]) / RUN).cast("int")
+        return let(
+            {"v": z["v"], "blocks": indexes(count), "totals": grow(indexes(count), F.lit(0), total)},
+            lambda y: F.flatten(
+                F.transform(
+                    y["blocks"],
+                    lambda b: let(
+                        {"items": F.slice(y["v"], b * RUN + 1, F.lit(RUN)), "base": F.coalesce(F.get(y["totals"], b - 1), F.lit(0))},
+                        lambda x: grow(x["items"], x["base"], lambda v: v),
+                    ),
+                )
+            ),
+        )
+
+    return let({"v": values}, blocks)
+
+
 def strip(text: Column) -> Column:
     """Trim every Unicode blank on both sides."""
     from slipmark.functions.fixed import BLANKS

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from slipmark.functions import fixed
 from slipmark.functions.draws import SEED, draw
-from slipmark.functions.lets import indexes, let, strip
+from slipmark.functions.lets import indexes, let, running_sums, strip
 from slipmark.functions.specs import NumberPart, number_parts
 from slipmark.functions.text import reasoning_boundary
 
@@ -173,14 +173,7 @@ def number_tokens(text: Column) -> Column:
         return let(
             {
                 "numbers": z["numbers"],
-                # ends by a running sum over the piece lengths
-                "ends": F.aggregate(
-                    z["pieces"],
-                    F.array().cast("array<int>"),
-                    lambda ends, p: F.concat(
-                        ends, F.array(F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) + F.length(p))
-                    ),
-                ),
+                "ends": running_sums(F.transform(z["pieces"], lambda p: F.length(p))),
             },
             lambda y: F.zip_with(
                 y["numbers"],

@@ -47,6 +47,19 @@ def run_summary(log: DataFrame, log_file: str, order: list[str], scorer=number_s
     return runs.groupBy("run_no", log_file, "model").agg(*summary_columns())
 
 
+def render_conversations(turns: DataFrame, conversation: str, order: str, content: str, out: str = "shown") -> DataFrame:
+    """The last content of a conversation of more than two messages, else its contents with a blank line between.
+
+    Only the first, the last and the count are needed, so no message list is gathered, however long it is.
+    """
+    ends = turns.groupBy(conversation).agg(
+        F.count("*").alias("n_messages"), F.min_by(content, order).alias("_first"), F.max_by(content, order).alias("_last")
+    )
+    pair = F.concat("_first", F.lit("\n\n"), "_last")
+    shown = F.when(F.col("n_messages") == 2, pair).otherwise(F.col("_last"))
+    return ends.select(conversation, "n_messages", shown.alias(out))
+
+
 def first_wins(df: DataFrame, key: str, order: Column | str) -> DataFrame:
     """The first row per key, as a partial aggregate."""
     return _one(df, key, order, F.min_by)

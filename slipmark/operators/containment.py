@@ -24,6 +24,11 @@ from slipmark.sources.scratch import stored
 SIZES = (16, 8)
 
 
+def _id(text: str):
+    """128 bits, so that different texts do not share an id; pieces may share their 64-bit hash, as hits are verified."""
+    return F.unhex(F.md5(text))
+
+
 def _pieces(text, size: int):
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s).{{{size}}}"), 0))
 
@@ -41,7 +46,7 @@ def drop_contained(questions: DataFrame, log: DataFrame, question: str = "questi
 def contained_questions(asked: DataFrame, logged: DataFrame) -> DataFrame:
     """Distinct ``_q`` of ``asked`` that some ``_t`` of ``logged`` contains."""
     texts = logged.select(F.replace("_t", F.lit("\r"), F.lit("")).alias("_t")).where("_t is not null").distinct()
-    texts = stored(texts.withColumn("_tid", F.xxhash64("_t")), "logged-texts")
+    texts = stored(texts.withColumn("_tid", _id("_t")), "logged-texts")
     wanted = stored(asked.distinct().withColumn("_len", F.length("_q")), "asked-texts")
     equal = wanted.join(texts.select(F.col("_t").alias("_q")), "_q", "left_semi").select("_q")
     rest = stored(wanted.join(equal, "_q", "left_anti"), "asked-rest")
@@ -64,7 +69,7 @@ def _by_pieces(rest: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         "logged-pieces",
     )
     spread = marks.groupBy("_g").agg(F.count("*").alias("_df"))
-    asked = rest.select(F.xxhash64("_q").alias("_qid"), "_q")
+    asked = rest.select(_id("_q").alias("_qid"), "_q")
     at = lambda r: F.xxhash64(F.substring("_q", r + 1, size))
     starts = asked.select(
         "_qid", F.posexplode(F.array(*[at(r) for r in range(size)])).alias("_r", "_g")

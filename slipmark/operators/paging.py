@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +55,14 @@ def draw_sample(df: DataFrame, key: str, size: int, seed: str = SEED) -> DataFra
 
 def stored_sample(df: DataFrame, key: str, size: int, path: str, by: list[str]) -> DataFrame:
     """The sample of this size and these ``by`` values, from ``path`` when it is there, else drawn and kept there."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/n={size}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        draw_sample(df, key, size).select(key, *by).write.mode("overwrite").parquet(f"{path}/n={size}")
-    return spark.read.parquet(f"{path}/n={size}")
+    folder = f"{path}/n={size}"
+    try:
+        return df.sparkSession.read.parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    draw_sample(df, key, size).select(key, *by).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
 def batch_inputs(df: DataFrame, shard: str, order: list[str], cost: Column, model: str, threads: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slipmark.functions import fixed, identity, messages, specs, text
 from slipmark.functions.lets import array_rows, strip
-from slipmark.operators import filters
+from slipmark.operators import aggregates, filters
 from slipmark.queries import views as V
 from slipmark.queries.registry import query
 
@@ -141,12 +141,8 @@ select conv_id, count(*) as n_messages,
        case when count(*) > 2 then max_by(text, turn) else string_agg(text, concat(chr(10), chr(10)) order by turn) end as shown
 from conversations group by conv_id""")
 def render_messages(spark, sf_dir):
-    """A conversation is one message list, as one request is; its size is that of one prompt."""
     turns = V.table(spark, sf_dir, "conversations")
-    message = F.struct("turn", "role", F.col("text").alias("content"))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))
-    return grouped.select("conv_id", F.size("m").cast("long").alias("n_messages"),
-                          messages.render_messages(F.col("m")).alias("shown"))
+    return aggregates.render_conversations(turns, "conv_id", "turn", "text")
 
 
 @query("base_model_name", rf"""

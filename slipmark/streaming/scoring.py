@@ -29,7 +29,7 @@ def incremental_scoring(
 
     def score(batch: DataFrame, batch_id: int) -> None:
         summary = scored_rows(batch, scorer).groupBy(*by).agg(*summary_columns())
-        summary.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        summary.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_path)
     return (

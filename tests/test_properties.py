@@ -132,3 +132,27 @@ def test_first_and_last_of_one_hot_key(spark):
     first = aggregates.first_wins(df, "q", "id").where("q = 'hot'").first()
     last = aggregates.last_wins(df, "q", "id").where("q = 'hot'").first()
     assert (first.id, last.id) == (0, 4998)
+
+
+def test_running_sums(spark):
+    from slipmark.functions.lets import running_sums
+
+    rng = random.Random(2)
+    lists = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1000)]
+    df = spark.createDataFrame([(x,) for x in lists], "v array<int>")
+    got = [r.s for r in df.select(running_sums(F.col("v")).alias("s")).collect()]
+    assert got == [list(np.cumsum(x)) for x in lists]
+
+
+def test_long_texts(spark):
+    """Work per row stays near linear: 20,000 numbers and 200,000 letters in one text."""
+    many = " ".join(f"{i % 977} apples" for i in range(20_000))
+    df = spark.createDataFrame([("a", many)], "k string, t string")
+    got = df.select(
+        F.size(numbers.number_tokens(F.col("t"))).alias("n"),
+        numbers.number_tokens(F.col("t"))[19_999]["end"].alias("end"),
+        numbers.number_intervention(F.col("k"), F.col("t"), "copy", "add1")[0]["text"].alias("x"),
+        noise.letter_noise(F.col("k"), F.col("t"), "typo10")[0]["text"].alias("y"),
+    ).first()
+    assert got.n == 20_000 and got.end == len(many) - len(" apples")
+    assert many.startswith(got.x.rsplit(" ", 1)[0]) and len(got.y) == len(many)
