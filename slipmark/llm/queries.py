@@ -37,3 +37,58 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slipmark.llm.ngram_jaccard import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from slipmark.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_QUALITY = r"""
+with w as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+    from documents
+), measured as (
+    select doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+        len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, words
+    from w
+), win as (
+    select doc_id, i, {'a': words[i], 'b': words[i + 1], 'c': words[i + 2]} as win
+    from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from measured where len(words) > 2)
+), again as (
+    select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as n from win) where n > 1
+), covered as (
+    select doc_id, sum(least(3, i - coalesce(p, i - 3))) as n
+    from (select doc_id, i, lag(i) over (partition by doc_id order by i) as p from again) group by doc_id
+), failed as (
+    select m.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words,
+        cast(n_words < 50 as bigint) as f0, cast(100 * coalesce(c.n, 0) > 50 * n_words as bigint) as f1,
+        cast(5 * n_symbols > n_words as bigint) as f2, cast(2 * n_dup_lines > n_lines as bigint) as f3,
+        cast(word_chars < 2 * n_words as bigint) as f4, cast(word_chars > 16 * n_words as bigint) as f5
+    from measured m left join covered c on m.doc_id = c.doc_id
+)
+select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
+    f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4 + 32 * f5 as bits, f0 + f1 > 0 as base_failed,
+    f0 + f1 + f2 + f3 + f4 + f5 = 0 as kept
+from failed
+"""
+
+
+@query("op6_quality_rules", _QUALITY)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slipmark.llm.quality_rules import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slipmark.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))

@@ -41,3 +41,33 @@ def jaccard_components(rows, percent=75):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = {}
+    for i in range(len(words) - 2):
+        windows.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {i + j for places in windows.values() if len(places) > 1 for i in places for j in range(3)}
+    n = len(words)
+    return (
+        n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered),
+        n < 50 or 100 * len(covered) > 50 * n,
+    )
+
+
+LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def licenses(text):
+    words = LICENSE_WORD.findall(lower(text))
+    starts, labels = [], set()
+    for phrase, label in PHRASES.items():
+        p = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        starts += at
+        labels |= {label} if at else set()
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
