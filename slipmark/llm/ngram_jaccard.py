@@ -289,3 +289,11 @@ def jaccard_components(
         .select("doc_id", F.col("n").alias("n_shingles"),
                 F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "id", "doc_id")).alias("component_id"))
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` whose id is the smallest of its component, one row of each id; rows with a null id stay."""
+    groups = jaccard_components(docs, id_col, text_col)
+    kept = groups.where("component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -92,3 +92,87 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slipmark.llm.licenses import scan_licenses
 
     return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_sainte_lague_mix")
+def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slipmark.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slipmark.llm.secrets import digest, scan_secrets
+
+    return digest(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+@query("op9_chat_format")
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from slipmark.llm.chat import digest, format_conversations
+
+    said = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
+    return digest(format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op1_template_decontamination")
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slipmark.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_chained_passages")
+def op2_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slipmark.llm.passages import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+_FIXITY = """
+with bodies as (
+    select page_id, coalesce(url, '') as url, coalesce(html, '') as body from pages
+), records as (
+    select page_id, 'crawl-' || (page_id // 1000) || '.warc' as file,
+        length('WARC/1.1..WARC-Type: resource..WARC-Record-ID: <urn:page:>..WARC-Target-URI: ..Content-Type: text/html..'
+            || 'Content-Length: ........') + length(cast(page_id as varchar)) + strlen(url) + strlen(body)
+            + length(cast(strlen(body) as varchar)) as length
+    from bodies
+), placed as (
+    select page_id, file, cast(coalesce(sum(length) over (
+        partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
+    from records
+)
+select page_id, file, "offset",
+    case when (page_id * 104729) % 499 = 1 then 'missing' when (page_id * 15485863) % 997 = 2 then 'extra' else 'changed' end as status
+from placed
+where (page_id * 104729) % 499 = 1 or (page_id * 15485863) % 997 = 2 or (page_id * 7919) % 211 = 0
+"""
+
+
+@query("op3_merkle_fixity", _FIXITY)
+def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of the pages' WARC files, each with records that were lost, and one with flipped bytes."""
+    from pyspark.sql import functions as F
+
+    from slipmark.llm.fixity import audit, warc_records
+    from slipmark.sources.scratch import stored
+
+    whole = stored(warc_records(_table(spark, sf_dir, "pages")), "fixity-records")
+    lost, late = F.expr("(page_id * 104729) % 499 = 1"), F.expr("(page_id * 15485863) % 997 = 2")
+    flipped = F.concat(F.expr("substring(record, 1, 40)"), F.lit("?"), F.expr("substring(record, 42)"))
+    second = whole.where(~lost).withColumn("record", F.when(F.expr("(page_id * 7919) % 211 = 0"), flipped).otherwise(F.col("record")))
+    found = audit(whole.where(~late | lost), second)
+    return found.join(whole.select("page_id", "file", "offset"), ["file", "offset"]).select("page_id", "file", "offset", "status")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
