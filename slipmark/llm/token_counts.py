@@ -16,6 +16,8 @@ from slipmark.llm.batches import slices, span_hashes, text_bytes
 CHUNK = 64
 #: Pieces whose counts a task remembers; beyond that it forgets them all and starts again.
 REMEMBERED = 1 << 20
+#: Bytes of text that a scan covers, and new pieces given to the tokenizer at once.
+SCAN_BYTES, NEW_PIECES = 1 << 19, 1 << 11
 
 # Symbols that the transducer reads: class of the code point, with what the split pattern looks ahead to folded in.
 _LETTER, _NUMBER, _OTHER, _BLANK, _WHITE, _LAST_BLANK, _LAST_WHITE, _SHORT, _LONG, _BREAK = range(10)
@@ -154,7 +156,11 @@ class Lexicon:
         self.counts = np.empty(0, dtype=np.int64)
 
     def tokens(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Counts of the library itself. Its encodings are large, so few are held at once."""
+        out = []
+        for i in range(0, len(texts), NEW_PIECES):
+            out += [len(e) for e in self.tokenizer.encode_batch_fast(texts[i : i + NEW_PIECES], add_special_tokens=False)]
+        return out
 
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Counts of the pieces data[starts:ends]."""
@@ -229,7 +235,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(tokenizer_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SCAN_BYTES):
             n_bytes, tokens = _counts(batch.column("text"), lexicon)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64())],
