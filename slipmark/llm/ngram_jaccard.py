@@ -14,7 +14,7 @@ from slipmark.llm.components import components
 from slipmark.sources.scratch import stored
 
 #: Shingles counted together inside a task.
-_COUNTED_TOGETHER = 1 << 20
+_COUNTED_TOGETHER = 1 << 22
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -27,10 +27,10 @@ def _enough(overlap, a, b, percent: int):
     return (100 + percent) * overlap >= percent * (a + b)
 
 
-def frequent_tokens(texts: DataFrame, words: int = 5, min_docs: int = 32, capacity: int = 1 << 18) -> np.ndarray:
+def frequent_tokens(texts: DataFrame, words: int = 5, min_docs: int = 8, capacity: int = 1 << 18) -> np.ndarray:
     """Tokens that many different texts hold, found over all texts.
 
-    A task counts the tokens of about a million shingles at a time, each set once, and reports those found more than
+    A task counts the tokens of about four million shingles at a time, each set once, and reports those found more than
     once; the sums over tasks decide. At most ``capacity`` tokens, the most frequent ones, are returned: they only
     take part in the order of tokens, so any bound changes the cost and never the result.
     """
@@ -159,23 +159,20 @@ def _may_reach(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
 
 
 def _filter(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that pass the prefix filter in every further order."""
-    names = [f"o{i}" for i in range(len(ORDERS))]
-    side = lambda s: prefixes.select(
-        F.col("id").alias(s), F.col("n").alias(f"n{s}"), *[F.col(x).alias(f"{x}{s}") for x in names]
-    )
+    """Pairs that pass the prefix filter in every further order, one order after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in ("na", "nb")], strict=True)
-            orders = [(batch.column(f"{x}a"), batch.column(f"{x}b")) for x in names]
-            keep = [
-                all(_may_reach(p[i].as_py(), q[i].as_py(), na, nb, percent) for p, q in orders)
-                for i, (na, nb) in enumerate(rows)
-            ]
+            rows = zip(*[batch.column(c).to_pylist() for c in ("pa", "pb", "na", "nb")], strict=True)
+            keep = [_may_reach(x, y, na, nb, percent) for x, y, na, nb in rows]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+    for i in range(len(ORDERS)):
+        side = lambda s: prefixes.select(
+            F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col(f"o{i}").alias(f"p{s}")  # noqa: B023
+        )
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+    return pairs
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -207,7 +204,7 @@ def _hot_sizes(percent: int, n1: str, n2: str, h1: str, h2: str):
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
-    min_docs: int = 32, capacity: int = 1 << 18,
+    min_docs: int = 8, capacity: int = 1 << 18,
 ) -> DataFrame:
     """One row for each input row: ``doc_id``, ``n_shingles``, ``component_id``.
 
