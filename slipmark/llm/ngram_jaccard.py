@@ -259,20 +259,24 @@ def jaccard_components(
     here = members.select("tok", "label").distinct()
     mixed = here.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
     members = stored(members.join(mixed, "tok", "left_semi"), "jaccard-members")
-    there = members.groupBy("tok", "label").agg(F.max("h").alias("oh"), F.min("n").alias("least"), F.max("n").alias("most"))
-    there = there.select("tok", F.col("label").alias("other"), "oh", "least", "most")
     each = members.select("id", "n", "h", "label").distinct()
+    # of two components, the texts of the smaller one look for the larger one
+    sizes = each.groupBy("label").agg(F.struct(F.count("*").alias("c"), "label").alias("size"))
+    there = (
+        members.groupBy("tok", "label").agg(F.max("h").alias("oh"), F.min("n").alias("least"), F.max("n").alias("most"))
+        .join(sizes, "label").select("tok", F.col("label").alias("other"), F.col("size").alias("larger"), "oh", "least", "most")
+    )
     towards = (
-        members.join(there, "tok")
-        .where((F.col("label") != F.col("other")) & (100 * F.col("n") >= percent * F.col("least"))
+        members.join(sizes, "label").join(there, "tok")
+        .where((F.col("size") < F.col("larger")) & (100 * F.col("n") >= percent * F.col("least"))
                & (100 * F.col("most") >= percent * F.col("n"))
                & ((100 + percent) * F.least("h", "oh") >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100)))))
         .select("id", "n", "h", "other").distinct()
     )
     others = each.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"), F.col("label").alias("other"))
     rest = stored(
-        towards.join(others, "other").where((F.col("id") < F.col("b")) & _hot_sizes(percent, "n", "nb", "h", "hb"))
-        .select(F.col("id").alias("a"), "b").distinct(),
+        towards.join(others, "other").where(_hot_sizes(percent, "n", "nb", "h", "hb"))
+        .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(),
         "jaccard-rest",
     )
     kept = stored(_filter(rest, prefixes, percent), "jaccard-rest-kept")
