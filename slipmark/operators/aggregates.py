@@ -40,9 +40,18 @@ def chunk_summary(log: DataFrame, order: list[str], size: int = 100, scorer=numb
     return numbered.where("_answered").groupBy("chunk").agg(*summary_columns()).where(F.col("trials") > 0)
 
 
-def run_summary(log: DataFrame, log_file: str, order: list[str], scorer=number_scorer) -> DataFrame:
-    """One row per run of consecutive rows of one model in each log file, with trials, score and times."""
-    slim = scored_rows(log, scorer).select(log_file, *order, "model", "ok", "start_ts", "end_ts")
+def run_summary(log: DataFrame, log_file: str, order: list[str], scorer=number_scorer, count_blank: bool = False) -> DataFrame:
+    """One row per run of consecutive rows of one model in each log file, with trials, score and times.
+
+    With ``count_blank`` a row without an answer is a wrong trial, and ends a run of another model; without it such rows
+    are not there.
+    """
+    if count_blank:
+        verdict = F.when(is_blank(F.col("answer")), F.lit(False)).otherwise(scorer(F.col("answer"), F.col("target")))
+        log = log.withColumn("ok", verdict)
+    else:
+        log = scored_rows(log, scorer)
+    slim = log.select(log_file, *order, "model", "ok", "start_ts", "end_ts")
     runs = run_ids(slim, [log_file, *order], F.struct(log_file, "model"))
     return runs.groupBy("run_no", log_file, "model").agg(*summary_columns())
 

@@ -110,4 +110,5 @@ def _short_ones(rest: DataFrame, texts: DataFrame, lengths: list[int]) -> DataFr
     for n in lengths:
         each = texts.select(F.explode(cut(n)).alias("_q"))
         parts = each if parts is None else parts.unionByName(each)
-    return rest.join(parts, "_q", "left_semi").select("_q")
+    # copies of a substring are summed up before they meet its question
+    return rest.join(parts.distinct(), "_q", "left_semi").select("_q")

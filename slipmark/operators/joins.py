@@ -8,9 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def align_responses(inputs: DataFrame, responses: DataFrame, on: list[str]) -> DataFrame:
-    """Bring responses to their inputs; an input without a response keeps nulls."""
-    return inputs.join(responses, on, "left")
+def one_per_key(df: DataFrame, on: list[str], latest: list[str] | None = None) -> DataFrame:
+    """One row for each key: the last by ``latest``, or where that is not given the greatest of its other values."""
+    rest = [c for c in df.columns if c not in on]
+    if not rest:
+        return df.distinct()
+    best = df.groupBy(*on).agg(F.max_by(F.struct(*rest), F.struct(*(latest or rest))).alias("_best"))
+    return best.select(*on, *[F.col("_best")[c].alias(c) for c in rest])
+
+
+def align_responses(inputs: DataFrame, responses: DataFrame, on: list[str], latest: list[str] | None = None) -> DataFrame:
+    """Bring responses to their inputs, the last one where there are several; an input without any keeps nulls."""
+    return inputs.join(one_per_key(responses, on, latest), on, "left")
 
 
 def matched_sets(sets: DataFrame, key: str, names: list[str], value: str = "text", name: str = "perturbation") -> DataFrame:
@@ -28,12 +37,14 @@ def skip_completed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key), key, "left_anti")
 
 
-def cached_logprobs(requests: DataFrame, cache: DataFrame, compute, key: list[str]) -> DataFrame:
+def cached_logprobs(requests: DataFrame, cache: DataFrame, compute, key: list[str], latest: list[str] | None = None) -> DataFrame:
     """Known values for (input, target), computed ones for the rest; each distinct request is computed once.
 
-    ``cache`` holds the key and ``logprob``; ``compute`` maps the missing distinct requests to the same columns.
+    ``cache`` holds the key and ``logprob``, and the columns of ``latest`` that tell which of several entries counts;
+    ``compute`` maps the missing distinct requests to the same columns.
     """
     wanted = requests.dropDuplicates(key)
+    cache = one_per_key(cache.select(*dict.fromkeys([*key, "logprob", *(latest or [])])), key, latest)
     known = wanted.select(*key).join(cache.select(*key, "logprob"), key, "inner")
     missing = wanted.join(cache.select(*key), key, "left_anti")
     values = known.withColumn("cached", F.lit(True)).unionByName(
@@ -43,11 +54,16 @@ def cached_logprobs(requests: DataFrame, cache: DataFrame, compute, key: list[st
 
 
 def pair_by_position(questions: DataFrame, targets: DataFrame, order: str, check: bool = True) -> DataFrame:
-    """Pair two lists by position; lists of different length are an error."""
+    """Pair two lists by position; lists of different length, or with a position that only one has, are an error."""
     if check:
         counts = questions.select(F.count("*").alias("q")).crossJoin(targets.select(F.count("*").alias("t"))).first()
         if counts.q != counts.t:
             raise ValueError(f"{counts.q} questions but {counts.t} targets")
+        sides = [questions.select(order), targets.select(order)]
+        for a, b in (sides, sides[::-1]):
+            lone = a.join(b, order, "left_anti").first()
+            if lone is not None:
+                raise ValueError(f"position {lone[0]} is in one list only")
     return questions.join(targets, order)
 
 

@@ -15,18 +15,11 @@ from slipmark.functions.draws import SEED, digest
 from slipmark.operators.ordering import number_rows
 from slipmark.sources.scratch import stored
 
-SMALL_LIMIT = 100_000
-
 
 def skip_limit(df: DataFrame, order: list[str], skip: int = 0, limit: int = -1) -> DataFrame:
-    """Skip ``skip`` rows in order and take ``limit`` (all for a negative limit).
-
-    A short page is a top-n of each partition. A long one, which would otherwise end in one task, goes by row number.
-    """
+    """Skip ``skip`` rows in order and take ``limit`` (all for a negative limit), by row number whatever the size."""
     if skip == 0 and limit < 0:
         return df
-    if 0 <= limit and skip + limit <= SMALL_LIMIT:
-        return df.orderBy(*order).offset(skip).limit(limit)
     numbered = number_rows(df, order, "_row_no").where(F.col("_row_no") >= skip)
     if limit >= 0:
         numbered = numbered.where(F.col("_row_no") < skip + limit)

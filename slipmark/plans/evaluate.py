@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slipmark.functions import fixed, text
 from slipmark.operators import aggregates, containment, filters, joins, paging
+from slipmark.operators.ordering import number_rows
 from slipmark.plans.generate import rerun_failed
 from slipmark.plans.scoring import Scorer
 from slipmark.sources import problems
@@ -18,7 +19,7 @@ from slipmark.sources.scratch import stored
 
 @dataclass
 class Evaluation:
-    """``rows``: each question with its last response and verdict. ``summary``: one row. ``failures``: unanswered ones."""
+    """``rows``: each question with its last response and verdict. ``summary``: one row. ``failures``: those without a verdict, and why."""
 
     rows: DataFrame
     summary: DataFrame
@@ -61,20 +62,25 @@ def evaluate_dataset(
         logged = earlier.where((F.col("model") == model) & (F.col("style") == style))
         rows = containment.drop_contained(rows, logged)
     if skip_condition is not None:
-        rows = rows.where(~skip_condition(F.col("question")))
+        rows = rows.where(~F.coalesce(skip_condition(F.col("question")), F.lit(False)))
     rows = paging.skip_limit(rows, order, skip, limit)
-    tried = rerun_failed(stored(rows, "questions"), run, order[0], reruns)
+    tried = rerun_failed(stored(rows, "questions"), run, order, reruns)
     scored = tried.withColumnRenamed("response", "answer")
     summary = aggregates.chunk_summary(scored, order, page, scorer).select(
         F.lit(taskset).alias("taskset"), F.lit(model).alias("model"), F.lit(style).alias("style"), "chunk", "trials",
         F.lit(scorer_name).alias("scorer"), "score", "start_time", "end_time",
     )
     verdict = scorer(F.col("answer"), F.col("target"))
-    return Evaluation(
-        scored.withColumn("ok", F.when(~text.is_blank(F.col("answer")), verdict)),
-        summary,
-        scored.where(text.is_blank(F.col("answer"))).select("question", "target"),
-    )
+    judged = scored.withColumn("ok", F.when(~text.is_blank(F.col("answer")), verdict))
+    reason = F.when(text.is_blank(F.col("answer")), "no answer").otherwise("target can't be read")
+    return Evaluation(judged, summary, judged.where(F.col("ok").isNull()).select("question", "target", reason.alias("reason")))
+
+
+def _skip_in_files(log: DataFrame, log_file: str, order: list[str], skip: int) -> DataFrame:
+    """Without the first ``skip`` rows of each log file."""
+    numbered = number_rows(log, [log_file, *order], "_row_no")
+    first = numbered.groupBy(log_file).agg(F.min("_row_no").alias("_first"))
+    return numbered.join(first, log_file).where(F.col("_row_no") - F.col("_first") >= skip).drop("_row_no", "_first")
 
 
 def rescore_log(
@@ -89,16 +95,20 @@ def rescore_log(
     limit: int = -1,
     scorer: Scorer = text.number_scorer,
 ) -> DataFrame:
-    """The annotated log where there is one (per log file), filtered, scored, with one row per run of one model."""
+    """The annotated log where there is one (per log file), filtered, scored, with one row per run of one model.
+
+    ``skip`` leaves out the first rows of each log file, before any filter.
+    """
     keep = filters.log_row_filter(taskset, model, style)
+    if skip:
+        plain = _skip_in_files(plain, log_file, order, skip)
+        annotated = None if annotated is None else _skip_in_files(annotated, log_file, order, skip)
     if annotated is None:
         rows = plain.withColumn("error_type", F.lit(None).cast("string")).where(keep)
     else:
         chosen = annotated.where(keep)
         unmarked = plain.drop("error_type").withColumn("error_type", F.lit(None).cast("string")).where(keep)
         rows = joins.prefer_annotated(chosen, unmarked, [log_file])
-    if skip:
-        rows = paging.skip_rows(rows, order, skip)
     rows = rows.withColumn("target", text.extract_target(F.col("target"), keep_commas=True))
     if limit >= 0:
         rows = paging.limit_valid(rows, ~text.is_blank(F.col("answer")), order, limit)

@@ -17,7 +17,7 @@ BLANK = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 
 def tokens_sql(source: str, name: str, text_column: str = "text") -> str:
     return rf"""
-{name} as (
+{name} as materialized (
   select id, idx, num, cast(fin - length(num) as int) as start, cast(fin as int) as fin, try_cast(replace(num, ',', '') as double) as value
   from (select id, idx, num, sum(length(piece)) over (partition by id order by idx) as fin
         from (select id, unnest(pieces) as piece, unnest(nums) as num, generate_subscripts(nums, 1) - 1 as idx
@@ -28,7 +28,7 @@ def tokens_sql(source: str, name: str, text_column: str = "text") -> str:
 # Step marks without a loop: of the marks N that stand alone between blanks, the run 1..k without a gap counts;
 # mark N is masked at its first place from the first place of mark N - 1 on (N = 1: from the boundary on).
 MASK_SQL = rf"""
-source as (select id, text, case when strpos(text, concat(' Let', chr(39), 's think step by step.')) > 0
+source as materialized (select id, text, case when strpos(text, concat(' Let', chr(39), 's think step by step.')) > 0
                             then strpos(text, concat(' Let', chr(39), 's think step by step.')) + 25 else 0 end as b
            from __SOURCE__),
 {tokens_sql("source", "raw_tokens")},
@@ -49,12 +49,12 @@ masked_marks as (
   group by m.id, m.n)"""
 
 TOKENS_SQL = MASK_SQL + rf""",
-toks as (
+toks as materialized (
   select t.id, row_number() over (partition by t.id order by t.start) - 1 as i, t.num, t.start, t.fin, t.value, x.b, x.text
   from raw_tokens t join source x on x.id = t.id
   left join masked_marks m on m.id = t.id and m.start = t.start
   where m.id is null),
-ranked as (
+ranked as materialized (
   select *, row_number() over (partition by id, value order by i) as nth,
          lead(start) over (partition by id, value order by i) as start2,
          lead(fin) over (partition by id, value order by i) as fin2,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made and set."""
+    """The shared folder of ``spark.checkpoint.dir``. Only a session with a local master makes one of its own where that is
+    unset; on a cluster, executors would each write to their own disk, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         base = tempfile.mkdtemp(prefix="slipmark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
