@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _WORD_BASE = 0x9E3779B97F4A7C15
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],

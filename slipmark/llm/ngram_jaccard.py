@@ -14,7 +14,7 @@ from slipmark.llm.components import components
 from slipmark.sources.scratch import stored
 
 #: Shingles counted together inside a task.
-_COUNTED_TOGETHER = 1 << 22
+_COUNTED_TOGETHER = 1 << 21
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -30,7 +30,7 @@ def _enough(overlap, a, b, percent: int):
 def frequent_tokens(texts: DataFrame, words: int = 5, min_docs: int = 8, capacity: int = 1 << 18) -> np.ndarray:
     """Tokens that many different texts hold, found over all texts.
 
-    A task counts the tokens of about four million shingles at a time, each set once, and reports those found more than
+    A task counts the tokens of about two million shingles at a time, each set once, and reports those found more than
     once; the sums over tasks decide. At most ``capacity`` tokens, the most frequent ones, are returned: they only
     take part in the order of tokens, so any bound changes the cost and never the result.
     """
