@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words that make what follows them on a line a candidate.
 _CONTEXT = re.compile(r"password|passwd|secret|token|api[_-]?key|credential|private|bearer|authorization|access[_-]?key", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_BETWEEN = re.compile(r"[\s\"'`,;:(){}\[\]<>|]+")
+_REST = re.compile(r"[A-Za-z0-9+/_=-]*")
 #: Code points between a context word and a candidate's end, at most; text on both sides that primes the dictionary.
 REACH, AROUND = 160, 1024
 #: Identifiers of code and settings that prime every dictionary.
@@ -59,18 +61,20 @@ class Novelty:
     def spans(self, text: str, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
         """Candidates in a sensitive context that no base span overlaps and whose share reaches ``least``."""
         found, seen = [], -1
+        starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
         for word in _CONTEXT.finditer(text):
             line = text.find("\n", word.end(), word.end() + REACH)
             stop = line if line >= 0 else min(len(text), word.end() + REACH)
             for m in _CANDIDATE.finditer(text, max(word.end(), seen), stop):
                 start, end = m.span()
-                while end == stop and end < len(text) and _CANDIDATE.fullmatch(text, start, end + 1):
-                    end = stop = end + 1  # a candidate is never cut at the end of the reach
+                if end == stop:
+                    end = _REST.match(text, end).end()  # a candidate is never cut at the end of the reach
                 seen = max(seen, end)
                 value = text[start:end]
                 if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                     continue
-                if any(s < end and start < e for s, _, e in base):
+                before = bisect_left(starts, end)
+                if before and reach[before - 1] > start:
                     continue
                 around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
                 if self.share(value.encode(), around.encode()) >= least:

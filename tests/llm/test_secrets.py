@@ -43,6 +43,19 @@ def test_novel_strings(spark):
     assert got == {0: f"novel:{at}:{at + 24}", 1: "", 2: "", 3: ""}
 
 
+def test_very_long_strings_and_many_spans(spark):
+    import random
+
+    draw = random.Random(5)
+    blob = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    many = "token=abcdef1 " * 50_000 + "bearer qX7vR2mK9pLw4TzB8nYc3HdF"
+    texts = ["private " + blob, many, "secret=" + "a1" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in digest(scan_secrets(df)).collect()}
+    assert got[0].spans == f"novel:8:{8 + len(blob)}" and got[1].n_assign == 50_000 and got[2].n_assign == 1
+    assert got[1].n_novel == 1 and got[1].spans.endswith(f"novel:{len(many) - 24}:{len(many)}")
+
+
 def test_redact_and_other_columns(spark):
     df = spark.createDataFrame([(1, "a password=abcdef b", 7), (2, None, 8), (None, "", 9), (1, "clean", 7)], "doc_id long, text string, spans long")
     assert sorted((r.spans, r.text) for r in redact(df).collect() if r.text) == [(7, "a [SECRET] b"), (7, "clean")]
