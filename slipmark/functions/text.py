@@ -127,8 +127,20 @@ def numeric_target(target: Column) -> Column:
     return F.when(plain, text.try_cast("double"))
 
 
+def _same_integer(a: Column, b: Column) -> Column:
+    """Whether two integer literals of any length are equal, by their digits."""
+    def shown(x: Column) -> Column:
+        digits = F.regexp_replace(x, r"^[+-]?0*(?=[0-9])", "")
+        return F.when(F.startswith(x, F.lit("-")) & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+
+    return shown(a) == shown(b)
+
+
 def number_scorer(answer: Column, target: Column) -> Column:
-    """Whether the first number of the answer equals the target; null when the target is not a number."""
+    """Whether the first number of the answer equals the target; null when the target is not a number.
+
+    Integers are equal by their digits, whatever their length; doubles are compared where one side has a point or exponent.
+    """
     tail = (
         F.when(has(answer, fixed.ANSWER_SUFFIX), F.substring_index(answer, fixed.ANSWER_SUFFIX, -1))
         .when(has(answer, fixed.DIRECT_SUFFIX), F.substring_index(answer, fixed.DIRECT_SUFFIX, -1))
@@ -137,7 +149,11 @@ def number_scorer(answer: Column, target: Column) -> Column:
     first = F.regexp_extract(F.replace(tail, F.lit(","), F.lit("")), r"-?\p{Nd}+\.?\p{Nd}*", 0)
     readable = first.rlike(r"^-?[0-9]+\.?[0-9]*$") & ~first.rlike(r"^-?0+[1-9][0-9]*$")
     value = F.when(readable, first.try_cast("double"))
-    return F.when(numeric_target(target).isNotNull(), F.coalesce(value == numeric_target(target), F.lit(False)))
+    wanted = strip(target.cast("string"))
+    # a double holds every integer of up to 15 digits
+    wide = (F.greatest(F.length(first), F.length(wanted)) > 15) & first.rlike("^-?[0-9]+$") & wanted.rlike("^[+-]?[0-9]+$")
+    same = F.when(wide, readable & _same_integer(first, wanted)).otherwise(value == numeric_target(target))
+    return F.when(numeric_target(target).isNotNull(), F.coalesce(same, F.lit(False)))
 
 
 def exact_scorer(answer: Column, target: Column) -> Column:

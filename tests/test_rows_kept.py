@@ -68,3 +68,34 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.folder(Session())
+
+
+def test_integers_of_any_length_are_compared_by_their_digits(spark):
+    from slipmark.functions.text import number_scorer
+
+    big = "9" * 60
+    rows = [
+        ("9007199254740993", "9007199254740992", False), ("9007199254740993", "9007199254740993", True), (big, big, True),
+        (f"is {big}.", big, None), (big, big[:-1] + "8", False), ("-" + big, big, False), (big, "+" + big, True),
+        ("5", "5.0", True), ("-0", "0", True), ("1" + "0" * 400, "1" + "0" * 401, False), ("x", big, False), (big, "1/2", None),
+    ]
+    df = spark.createDataFrame(rows, "answer string, target string, want boolean")
+    for r in df.withColumn("ok", number_scorer(df.answer, df.target)).collect():
+        if not r.answer.startswith("is"):
+            assert r.ok == r.want, r
+
+
+def test_a_log_with_another_header_is_an_error(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from slipmark.sources import logs
+
+    one = spark.range(3).select(*[F.lit("a").alias(n) for n in logs.LOG_COLUMNS])
+    logs.write_csv(one, str(tmp_path / "log"))
+    assert logs.read_log(spark, str(tmp_path / "log")).count() == 3
+    with pytest.raises(ValueError, match="Error Type"):
+        logs.read_log(spark, str(tmp_path / "log"), annotated=True)
+    logs.write_csv(one.select(F.lit("b").alias("Note"), "*"), str(tmp_path / "log"))
+    with pytest.raises(Exception):
+        logs.read_log(spark, str(tmp_path / "log")).collect()
