@@ -38,6 +38,17 @@ def run_summary(spark, sf_dir):
     return aggregates.run_summary(log, "log_file", ["row_id"]).drop("run_no")
 
 
+@query("run_summary_blanks", f"""
+select style as log_file, model, {SUMMARY_SQL}
+from (select * exclude (ok), answer is not null and answer <> '' and ok as ok, row_number() over (partition by style order by row_id)
+                - row_number() over (partition by style, model order by row_id) as island from scored)
+group by style, model, island""", "scored")
+def run_summary_blanks(spark, sf_dir):
+    """As in scoring a log again: a row without an answer is a wrong trial and ends a run of another model."""
+    log = V.response_log(spark, sf_dir).withColumn("log_file", F.col("style"))
+    return aggregates.run_summary(log, "log_file", ["row_id"], count_blank=True).drop("run_no")
+
+
 _TWICE = """twice as (select *, 0 as copy, row_id || '-0' as place from response_log
                       union all select *, 1, row_id || '-1' from response_log where answer is not null)"""
 

@@ -13,7 +13,7 @@ from slipmark.queries.joins import _right_source
 from slipmark.queries.letters import STRIP, noisy_sql, positions_sql
 from slipmark.queries.numbers import candidates_sql, outputs_sql
 from slipmark.queries.registry import query
-from slipmark.sources import problems
+from slipmark.sources import logs, problems
 from slipmark.sources.scratch import new_path, stored
 from slipmark.streaming.scoring import incremental_scoring
 
@@ -149,6 +149,48 @@ def evaluate_dataset(spark, sf_dir):
     return result.summary
 
 
+@query("evaluate_dataset_reruns", """
+select concat(p.body, ' ', p.ask) as question, case when e % 5 = 3 then '1/2' else p.target end as target,
+       case when (answer is null or answer = '') and e % 2 = 1 then 'no answer' when e % 5 = 3 then 'target can''t be read'
+            when answer is null or answer = '' or ok then 'right' else 'wrong' end as outcome
+from problems p join lines using (row_id) join scored s using (row_id)""", "scored")
+def evaluate_dataset_reruns(spark, sf_dir):
+    """A written problem file, read in its own order, with targets that are no numbers; failed questions are asked once more.
+    Every question is in the result once."""
+    path = new_path(spark, "evaluated")
+    p = V.problems(spark, sf_dir)
+    lost = F.regexp_extract("question", r"each\. (\d+) are", 1).cast("int")
+    asked = p.select(text.assemble_question(F.col("body"), F.col("ask")).alias("question"), "answer_steps")
+    steps = F.when(lost % 5 == 3, "By halves. #### 1/2").otherwise(F.col("answer_steps"))
+    asked.select("question", steps.alias("answer")).write.json(path)
+    log = V.response_log(spark, sf_dir)
+    second = F.when(lost % 2 == 0, F.concat(F.lit(" "), "target"))
+
+    def run(rows, attempt):
+        told = log.select("question", (F.col("answer") if attempt == 0 else second).alias("response"), "start_ts", "end_ts")
+        return generate.replay(rows, told, ["question"])
+
+    questions = evaluate.load_questions(spark, "gsm8k", path)
+    result = evaluate.evaluate_dataset(questions, run, GPT, STYLE, "test", ["src_file", "src_block", "src_seq"], reruns=1)
+    judged = result.rows.where("ok is not null").select("question", "target", F.when(F.col("ok"), "right").otherwise("wrong").alias("outcome"))
+    return judged.unionAll(result.failures.select("question", "target", "reason"))
+
+
+@query("rescore_log_skipped", f"""
+select 'test_adjusted_position-calc' as taskset, log_file, model as model_family, model, {SUMMARY_SQL}
+from (select *, row_number() over (partition by log_file order by row_id) as place
+      from (select *, cast(year(start_ts) as varchar) as log_file from scored))
+where place > 500 and model = '{GPT}' and style = '{STYLE}' and answer is not null and answer <> ''
+  and (year(start_ts) % 2 = 1 or error_type is null or error_type = 'calculation')
+group by log_file, model""", "scored")
+def rescore_log_skipped(spark, sf_dir):
+    """The first 500 rows of each file are left out, whatever their model."""
+    log = V.response_log(spark, sf_dir).withColumn("log_file", F.year("start_ts").cast("string"))
+    annotated = log.where(F.year("start_ts") % 2 == 0)
+    return evaluate.rescore_log(
+        log, "test_adjusted_position-calc", GPT, STYLE, "log_file", ["row_id"], annotated, skip=500)
+
+
 @query("rescore_log", f"""
 select 'test_adjusted_position-calc' as taskset, log_file, model as model_family, model, {SUMMARY_SQL}
 from (select *, cast(year(start_ts) as varchar) as log_file from scored)
@@ -208,6 +250,24 @@ def rerun_failed(spark, sf_dir):
     return generate.rerun_failed(log.select("row_id", "question"), run, "row_id", 1)
 
 
+@query("generate_stage_errors", """
+select row_id, case when ln % 3 > 0 then question end as response,
+       case when ln % 3 = 0 then concat('ValueError: line ', row_id) end as error
+from response_log join lines using (row_id)""", "response_log")
+def generate_stage_errors(spark, sf_dir):
+    """A batch function that fails for every third line: only those rows have no answer, and each has its own message."""
+    lines = V.lines(spark, sf_dir).select("row_id", "ln")
+    asked = V.response_log(spark, sf_dir).select("row_id", F.col("question").alias("prompt")).join(lines, "row_id")
+
+    def answer(frame):
+        bad = frame["row_id"][frame["ln"] % 3 == 0]
+        if len(bad):
+            raise ValueError(f"line {bad.iloc[0]}")
+        return frame["prompt"]
+
+    return generate.call_in_batches(asked, answer, errors="error").select("row_id", "response", "error")
+
+
 @query("pluggable_scorer", r"""
 select row_id, ok as by_number, trim(coalesce(answer, '')) = target as by_text,
        contains(coalesce(answer, ''), target) as by_function from scored""", "scored")
@@ -250,3 +310,21 @@ def incremental_scoring_query(spark, sf_dir):
         F.sum("trials").alias("trials"),
         F.sum(F.round(F.col("score") * F.col("trials")).cast("long")).alias("right_ones"),
         F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
+
+
+@query("incremental_scoring_csv", """
+select model, style, count(ok) as trials, sum(cast(ok as int))::bigint as right_ones,
+       min(start_ts) as start_time, max(end_ts) as end_time
+from scored where answer is not null and answer <> '' group by model, style""", "scored")
+def incremental_scoring_csv(spark, sf_dir):
+    """The same over the CSV form of the log, which the writers make."""
+    log = V.response_log(spark, sf_dir).withColumn("logprob", F.lit(None).cast("double"))
+    source, out, state = (new_path(spark, n) for n in ("stream-csv", "stream-csv-summary", "stream-csv-state"))
+    for style in ("sbs", "sbs recovery"):
+        logs.write_log(log.where(F.col("style") == style), source)
+        incremental_scoring(spark, source, None, out, state, ["model", "style"], files_per_batch=100).awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.groupBy("model", "style").agg(
+        F.sum("trials").alias("trials"),
+        F.sum(F.round(F.col("score") * F.col("trials")).cast("long")).alias("right_ones"),
+        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))

@@ -57,6 +57,19 @@ def align_responses(spark, sf_dir):
     return joins.align_responses(asked, got, ["question"])
 
 
+@query("align_responses_repeated", """
+select p.row_id, concat(p.body, ' ', p.ask) as question, 'again' || r.answer as answer
+from problems p left join (select question, answer from response_log where model = 'gpt-4-0314') r
+  on r.question = concat(p.body, ' ', p.ask)""", "response_log")
+def align_responses_repeated(spark, sf_dir):
+    """Answered questions were asked twice: the later response counts."""
+    asked = V.problems(spark, sf_dir).select(
+        "row_id", text.assemble_question(F.col("body"), F.col("ask")).alias("question"))
+    first = V.response_log(spark, sf_dir).where("model = 'gpt-4-0314'").select("question", "answer", F.lit(0).alias("run"))
+    later = first.where("answer is not null").select("question", F.concat(F.lit("again"), "answer").alias("answer"), F.lit(1).alias("run"))
+    return joins.align_responses(asked, later.unionAll(first), ["question"], ["run"]).select("row_id", "question", "answer")
+
+
 def _right_source(extra: str = "") -> str:
     return ("(select row_id as id, full_prompt as text from scored "
             f"where ok and model = 'gpt-4-0314' and style = 'sbs'{extra})")
@@ -103,6 +116,23 @@ def logprob_cache(spark, sf_dir):
     return joins.cached_logprobs(requests, known, compute, ["input", "target"])
 
 
+@query("logprob_cache_repeated", """
+select row_id as request_id, question as input, target,
+       case when error_type is null then -(length(question) % 7) / 10.0
+            when length(question) % 2 = 0 then -1.5 else -(length(full_prompt) % 13) / 10.0 end as logprob,
+       error_type is not null as cached
+from response_log""", "response_log")
+def logprob_cache_repeated(spark, sf_dir):
+    """Every other pair stands in the cache twice: the later value counts, and each request has one row."""
+    log = V.response_log(spark, sf_dir)
+    requests = log.select(F.col("row_id").alias("request_id"), F.col("question").alias("input"), "target")
+    known = log.where("error_type is not null").select(
+        F.col("question").alias("input"), "target", (-(F.length("full_prompt") % 13) / F.lit(10.0)).alias("logprob"), F.lit(0).alias("run"))
+    later = known.where("length(input) % 2 = 0").select("input", "target", F.lit(-1.5).alias("logprob"), F.lit(1).alias("run"))
+    compute = lambda missing: missing.withColumn("logprob", -(F.length("input") % 7) / F.lit(10.0))
+    return joins.cached_logprobs(requests, known.unionAll(later), compute, ["input", "target"], ["run"])
+
+
 @query("pair_by_position", """
 select p.row_id, concat(p.body, ' ', p.ask) as question, r.answer, r.target from problems p join response_log r using (row_id)""",
        "response_log")
