@@ -27,7 +27,6 @@ CHAT_MODELS = [
     "gpt-3.5-turbo-16k-0613", "gpt-4-1106-preview",
 ]
 RATE_LIMITS = {"gpt-4": (10000, 300000), "claude": (4000, 400000), "chat": (10000, 2000000), "text": (3000, 250000)}
-DEFAULT_MODEL = "text-davinci-002"
 MAX_TOKENS = 500
 MAX_STEP_NUMBER = 9999
 PAGE_SIZE = 100

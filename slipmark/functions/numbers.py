@@ -29,7 +29,7 @@ PIECE = rf"(?s)[^0-9]*+({NUMBER})|[^0-9]++"
 def _mark_piece(digit: str, blank: str) -> str:
     """The same pieces with a group that is set where the number is a step marker: ``N.`` between blanks."""
     number = NUMBER.replace("0-9", digit)
-    mark = rf"(?<![^{blank}])([1-9][0-9]{{0,3}})\.(?=[{blank}])"
+    mark = rf"(?<![^{blank}])([1-9][0-9]{{0,{len(str(fixed.MAX_STEP_NUMBER)) - 1}}})\.(?=[{blank}])"
     return rf"(?s)[^{digit}]*+(?:{mark}|{number})|[^{digit}]++"
 
 
@@ -336,17 +336,61 @@ def part_change(key: Column, part: NumberPart, min_adjust: int, max_adjust: int,
     return drawn + part.amount
 
 
+def _added(digits: Column, change: Column) -> Column:
+    """``digits`` + ``change`` as text, for integers of any length: the last 18 digits are added, the rest takes the carry."""
+    block = F.lit(10**18).cast("decimal(38,0)")
+
+    def carried(z):
+        up = F.concat(F.regexp_replace(z["head"], "[0-9]9*$", ""), (F.regexp_extract(z["head"], "([0-9])9*$", 1).cast("int") + 1).cast("string"),
+                      F.regexp_replace(F.regexp_extract(z["head"], "(9*)$", 1), "9", "0"))
+        up = F.when(z["head"].rlike("^9+$"), F.concat(F.lit("1"), F.regexp_replace(z["head"], "9", "0"))).otherwise(up)
+        down = F.concat(F.regexp_replace(z["head"], "[1-9]0*$", ""), (F.regexp_extract(z["head"], "([1-9])0*$", 1).cast("int") - 1).cast("string"),
+                        F.regexp_replace(F.regexp_extract(z["head"], "(0*)$", 1), "0", "9"))
+        head = F.when(z["tail"] >= block, up).when(z["tail"] < 0, down).otherwise(z["head"])
+        tail = F.when(z["tail"] >= block, z["tail"] - block).when(z["tail"] < 0, z["tail"] + block).otherwise(z["tail"])
+        return F.regexp_replace(F.concat(head, F.lpad(tail.cast("decimal(18,0)").cast("string"), 18, "0")), "^0+(?=[0-9])", "")
+
+    def split(z):
+        n = F.length(z["digits"])
+        tail = F.substring(z["digits"], n - 17, F.lit(18)).cast("decimal(38,0)") + z["change"].cast("decimal(38,0)")
+        long = let({"head": F.substring(z["digits"], F.lit(1), n - 18), "tail": tail}, carried)
+        short = (z["digits"].try_cast("decimal(38,0)") + z["change"].cast("decimal(38,0)")).cast("string")
+        return F.when(n > 36, long).otherwise(short)
+
+    return let({"digits": F.regexp_replace(digits, "^0+(?=[0-9])", ""), "change": change}, split)
+
+
+def _added_decimal(digits: Column, change: Column) -> Column:
+    """The same for digits with a point: the places stay, or are those of the difference where the sum is negative."""
+
+    def show(z):
+        none = z["places"] == ""
+        shown = F.when(none, F.lit("0")).otherwise(z["places"])
+        negative = F.startswith(z["total"], F.lit("-"))
+        # a negative sum is -(|total| - 0.places)
+        nines = F.translate(F.left(z["places"], F.length(z["places"]) - 1), "0123456789", "9876543210")
+        rest = F.concat(nines, F.translate(F.right(z["places"], F.lit(1)), "123456789", "987654321"))
+        below = F.concat(F.lit("-"), (F.substring(z["total"], 2, 40).try_cast("decimal(38,0)") - 1).cast("string"), F.lit("."), rest)
+        return F.when(negative & ~none, below).otherwise(F.concat(z["total"], F.lit("."), shown))
+
+    places = F.rtrim(F.substring_index(digits, ".", -1), F.lit("0"))
+    return let({"total": _added(F.substring_index(digits, ".", 1), change), "places": places}, show)
+
+
 def perturb_value(number: Column, change: Column, handle_padding: bool = True) -> Column:
     """The text of ``number`` + ``change`` in the form of the old text; null where it has no such form.
 
     Commas and the count of digits after the point are kept; with padding, leading zeros and a final period too.
-    Null: an integer of zeros only, digits that are not ASCII, or more than 37 digits.
+    Null: an integer of zeros only, or digits that are not ASCII. Numbers too long for a decimal are added as digits.
     """
 
     def whole(z):
-        total = z["digits"].try_cast("decimal(38,0)") + z["change"].cast("decimal(38,0)")
-        grouped = F.when(F.contains(z["number"], F.lit(",")), F.format_number(total, 0))
-        return F.when(~z["digits"].rlike("^0+$"), F.coalesce(grouped, total.cast("string")))
+        total = F.try_add(z["digits"].try_cast("decimal(38,0)"), z["change"].cast("decimal(38,0)"))
+        commas = F.contains(z["number"], F.lit(","))
+        grouped = F.when(commas, F.format_number(total, 0))
+        wide = _added(z["digits"], z["change"])
+        wide = F.when(commas, F.reverse(F.regexp_replace(F.reverse(wide), r"([0-9]{3})(?=[0-9])", "$1,"))).otherwise(wide)
+        return F.when(~z["digits"].rlike("^0+$"), F.coalesce(grouped, total.cast("string"), wide))
 
     def decimal(z):
         places = F.length(F.substring_index(z["digits"], ".", -1))
@@ -390,7 +434,7 @@ def perturb_value(number: Column, change: Column, handle_padding: bool = True) -
     def formed(z):
         readable = z["digits"].rlike(r"^[0-9]+(\.[0-9]+)?$")
         point = F.contains(z["digits"], F.lit("."))
-        new = F.when(readable, F.when(point, decimal(z)).otherwise(whole(z)))
+        new = F.when(readable, F.when(point, F.coalesce(decimal(z), _added_decimal(z["digits"], z["change"]))).otherwise(whole(z)))
         return let({"number": z["number"], "digits": z["digits"], "new": new}, padded)
 
     return let(

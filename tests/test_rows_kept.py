@@ -99,3 +99,27 @@ def test_a_log_with_another_header_is_an_error(spark, tmp_path):
     logs.write_csv(one.select(F.lit("b").alias("Note"), "*"), str(tmp_path / "log"))
     with pytest.raises(Exception):
         logs.read_log(spark, str(tmp_path / "log")).collect()
+
+
+def test_numbers_of_any_length_change(spark):
+    from decimal import Decimal, getcontext
+
+    from pyspark.sql import functions as F
+
+    from slipmark.functions.numbers import perturb_value
+
+    getcontext().prec = 300
+    wholes = ["9" * 60, "1" + "0" * 60, "1" + "0" * 37, "9" * 37, "9" * 38, "12" * 25, "0" * 50 + "7", "1" + "9" * 40, "5" * 20 + "0" * 20]
+    rows = [(w, c, str(int(w) + c)) for w in wholes for c in (1, -1, 101, -101, 10**17, -(10**17))]
+    commas = [f"{int(w):,}" for w in wholes if w[0] != "0"]
+    rows += [(w, c, f"{int(w.replace(',', '')) + c:,}") for w in commas for c in (1, -101)]
+
+    def plain(d, c):
+        shown = format(Decimal(d) + c, "f")
+        return shown.rstrip("0") + ("0" if shown.rstrip("0").endswith(".") else "")
+
+    decimals = ["1" * 40 + ".25", "3." + "14" * 30, "0." + "0" * 50 + "1", "2." + "0" * 45, "9" * 45 + "." + "90" * 20]
+    rows += [(d, c, plain(d, c)) for d in decimals for c in (1, -1, 101, -101)]
+    df = spark.createDataFrame(rows, "n string, c long, want string")
+    for r in df.withColumn("got", perturb_value(F.col("n"), F.col("c"), False)).collect():
+        assert r.got == r.want, r
