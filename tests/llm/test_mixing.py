@@ -2,7 +2,7 @@ import heapq
 import random
 from collections import defaultdict
 
-from brute import WORD
+from llm.brute import WORD
 
 from slipmark.llm.mixing import apportion, mix
 

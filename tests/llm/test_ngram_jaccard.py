@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from brute import jaccard_components as plain
+from llm.brute import jaccard_components as plain
 
 from slipmark.llm.ngram_jaccard import jaccard_components
 

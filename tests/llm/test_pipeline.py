@@ -1,8 +1,8 @@
 import random
 
 import corpus_pipeline
-from brute import jaccard_components, quality
-from test_mixing import check
+from llm.brute import jaccard_components, quality
+from llm.test_mixing import check
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from brute import licenses, quality
+from llm.brute import licenses, quality
 
 from slipmark.llm.licenses import scan_licenses
 from slipmark.llm.quality_rules import RULES, ablations, ledger
