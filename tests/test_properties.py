@@ -79,11 +79,10 @@ def test_numbering_and_runs_do_not_depend_on_partitions(spark):
     assert results == [expected] * 3
 
 
-def test_pages_beyond_one_task_equal_short_ones(spark, monkeypatch):
+def test_pages_are_slices_of_the_ordered_rows(spark):
     df = spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1009)
-    short = [r.id for r in paging.skip_limit(df, ["k"], 13, 400).orderBy("k").collect()]
-    monkeypatch.setattr(paging, "SMALL_LIMIT", 0)
-    assert [r.id for r in paging.skip_limit(df, ["k"], 13, 400).orderBy("k").collect()] == short
+    ordered = sorted(range(1000), key=lambda i: i * 7919 % 1009)
+    assert [r.id for r in paging.skip_limit(df, ["k"], 13, 400).orderBy("k").collect()] == ordered[13:413]
     assert paging.skip_limit(df, ["k"], 13, -1).count() == 987
 
 
