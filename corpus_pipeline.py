@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from slipmark.llm.decontaminate import decontaminate
 from slipmark.llm.mixing import mix
 from slipmark.llm.ngram_jaccard import keep_one_of_each
-from slipmark.llm.quality_rules import ledger, passes
+from slipmark.llm.quality_rules import passing
 from slipmark.llm.secrets import redact
 from slipmark.sources.scratch import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the second policy."""
-    rows = ledger(docs).where(passes(F.col("ledger.bits"), "v2"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return passing(docs, "v2")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,8 +154,11 @@ def find_leaks(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` without those that hold an item. Rows are told apart by their text's digest."""
+    """The rows and columns of ``docs`` without those that hold an item. Rows are told apart by their text's digest.
+
+    Null and empty texts and all copies of a clean text stay, copies of a leaking one all go; columns may have any names.
+    """
     key = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
     keyed = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
     bad = find_leaks(keyed, benchmark, "key").select(F.col("key").alias("bad")).distinct()
-    return docs.join(bad, key == F.col("bad"), "left_anti")
+    return docs.join(bad, key == bad["bad"], "left_anti")

@@ -70,7 +70,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str, templates=TEMPLATES) ->
     import math
 
     words = sorted({w for _, text, _ in templates for w in text.split()})
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    text = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     held = F.array_distinct(F.filter(F.split(text, _NOT_WORD), lambda w: w.isin(words)))
     rows = docs.select(F.explode(F.array_append(held, F.lit(""))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     counts = {r["w"]: r["n"] for r in rows}
@@ -90,7 +90,7 @@ def scan_licenses(
     places. Row-local but for the counts of the template words. A null text is empty: no words, null places, empty labels, score 0;
     repeated rows and null ids are kept.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     weights = inverse_frequencies(rows, "text", templates)
     # a text without one of these words, in either case, holds no base phrase and no key phrase
     rarest = lambda phrase: max(phrase.split(), key=lambda w: (weights.get(w, 0.0), w))

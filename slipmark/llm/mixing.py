@@ -89,9 +89,9 @@ def mix(
     a row, repeats counted, at most ``most`` times its size. A null text has size 0; a row of size 0 gives none;
     equal rows are told apart by nothing, so which of them gives the last block is open, while their number is not.
     """
-    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = stored(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")),
+        docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words.alias("size")),
         "mix-rows",
     )
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))

@@ -219,7 +219,7 @@ def jaccard_components(
       and then only texts of different components.
     * Further orders: the candidates must also pass the prefix filter in each of these; then whole sets decide.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     frequent = frequent_tokens(texts, words, min_docs, capacity)
     prep = stored(_prepare(texts, frequent, words, percent), "jaccard-prefixes")
     classes = prep.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("id"))

@@ -109,6 +109,13 @@ def passes(bits: Column, policy: str) -> Column:
     return bits.bitwiseAND(F.lit(policy_mask(policy)).cast("long")) == 0
 
 
+def passing(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` whose text passes the policy, whatever the columns are called."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = ledger(docs.select(whole, F.col(f"`{text_col}`").alias("text")))
+    return rows.where(passes(F.col("ledger.bits"), policy)).select("whole.*")
+
+
 def ablations(ledger_rows: DataFrame, policy: str) -> DataFrame:
     """For each rule of a policy: texts that fail it, and texts that only it rejects. No rule is evaluated again.
 
@@ -127,8 +134,11 @@ def ablations(ledger_rows: DataFrame, policy: str) -> DataFrame:
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: str = "v2") -> DataFrame:
-    """One row for each input row: id, measurements, bits, ``base_failed`` (policy v1) and ``kept``."""
-    rows = ledger(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text")
+    """One row for each input row: id, measurements, bits, ``base_failed`` (policy v1) and ``kept``.
+
+    A null or empty text has zeros and fails; null ids and repeated rows are kept; other columns are ignored.
+    """
+    rows = ledger(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text")
     base = ~passes(F.col("bits"), "v1")
     return rows.select("doc_id", "ledger.*").withColumns(
         {"base_failed": base, "kept": ~base & passes(F.col("bits"), policy)}

@@ -93,7 +93,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size is at least ``least`` of their length (0.9 of that from 64 characters on). Row-local; a null or empty text has no spans; repeated rows and null ids are
     kept. A copy of a secret that stands elsewhere in the surroundings is no longer novel; the fixed patterns still find it.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,15 +121,19 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", least: float = 0.8) -> DataFrame:
-    """The rows and columns of ``docs`` with every span of the text replaced by ``mark``; overlapping spans as one."""
+    """The rows and columns of ``docs`` with every span of the text replaced by ``mark``; overlapping spans as one.
 
-    schema = docs.schema
+    Null and empty texts and repeated rows stay as they are; only the text column is changed, whatever the others are called.
+    """
+    # columns by place, as the batch functions of Spark take no names with points
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    name = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, name):
             out = []
-            for text in batch.column(text_col).to_pylist():
+            for text in batch.column(name).to_pylist():
                 if text:
                     base = base_spans(text)
                     spans = sorted(base + novelty.spans(text, base, least))
@@ -140,8 +144,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", leas
                         at = max(at, end)
                     text = "".join(parts) + text[at:] if spans else text
                 out.append(text)
-            column = batch.schema.get_field_index(text_col)
+            column = batch.schema.get_field_index(name)
             yield batch.set_column(column, batch.schema.field(column), pa.array(out, batch.schema.field(column).type))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

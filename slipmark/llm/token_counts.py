@@ -231,7 +231,7 @@ def token_counts(
     texts have 0 tokens; rows keep their order and number; null ids stay null; other columns are ignored. Each executor reads the
     vocabulary file from ``tokenizer_path``.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(tokenizer_path)

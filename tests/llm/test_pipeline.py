@@ -4,6 +4,8 @@ import corpus_pipeline
 from llm.brute import jaccard_components, quality
 from llm.test_mixing import check
 
+from slipmark.sources.scratch import stored
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -39,3 +41,18 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, FOLDER)
     assert empty.count() == 0
+
+
+def test_columns_with_the_names_used_inside(spark):
+    draw = random.Random(10)
+    text = lambda: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(90))
+    names = ["ledger", "bad", "key", "whole", "row", "id", "hash", "label", "node", "tok", "n", "k", "skey", "spans", "a.b"]
+    clash = ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, text(), "s", *[f"{n}{i}" for n in names]) for i in range(4)] + [(9, None, None, *[None] * len(names))]
+    given = spark.createDataFrame(rows, f"doc_id long, text string, source string, {clash}")
+    docs = given
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, FOLDER))
+        assert docs.schema.simpleString() == given.schema.simpleString()
+    assert sorted(tuple(r) for r in docs.collect()) == rows[:4]
+    assert {r.doc_id: r.size for r in corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()} == dict.fromkeys(range(4), 90)
