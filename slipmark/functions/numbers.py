@@ -450,6 +450,10 @@ def perturb_value(number: Column, change: Column, handle_padding: bool = True) -
     )
 
 
+#: Why no text was made.
+NO_NUMBER, NO_FORM = "no number at this position", "number has no changed form"
+
+
 def number_intervention(
     key: Column,
     text: Column,
@@ -461,12 +465,14 @@ def number_intervention(
     remove_steps: bool = True,
     seed: str = SEED,
     noise=None,
+    reasons: bool = False,
 ) -> Column:
     """Change one drawn number (``propcalc``: its first two places) and cut the text after the last change.
 
     Gives array<struct<part_no, perturbation, text>>, one entry per spec part with the same place for all. The array
     is empty when there is no candidate or the drawn number has no changed form; an empty text passes through.
-    ``noise`` may further change the array of texts; it gives null when it cannot.
+    ``noise`` may further change the array of texts; it gives null when it cannot. With ``reasons`` the array is the field
+    ``made`` of a struct, next to the ``reason`` why it is empty, null where it is not.
     """
     if position not in POSITIONS:
         raise ValueError(f"unknown position {position!r}")
@@ -517,10 +523,12 @@ def number_intervention(
             value = lambda i: y["new"][i]
             tail = lambda i: [x["middle"], value(i)] if position == "propcalc" else []
             texts = F.array(*[F.concat(x["head"], value(i), *tail(i)) for i in range(len(parts))])
-            return noise(x["key"], texts) if noise else texts
+            # where the noise can't be made, the texts are null: the number itself was found
+            return F.coalesce(noise(x["key"], texts), F.array(F.lit(None).cast("string"))) if noise else texts
 
         return let({"new": F.array(*new)}, joined)
 
+    no_form = NO_FORM if noise is None else f"{NO_FORM}, or too few letters"
     worked = _split_numbers(key, text, position, remove_steps, spliced)
     names = F.array(*[F.lit(p.name) for p in parts])
 
@@ -531,9 +539,12 @@ def number_intervention(
 
     def checked(z):
         complete = z["texts"].isNotNull() & ~F.exists(z["texts"], lambda t: t.isNull())
-        return F.when(complete, F.transform(z["texts"], named)).otherwise(
+        made = F.when(complete, F.transform(z["texts"], named)).otherwise(
             F.array().cast("array<struct<part_no:int,perturbation:string,text:string>>")
         )
+        if not reasons:
+            return made
+        return F.struct(made.alias("made"), F.when(z["texts"].isNull(), NO_NUMBER).when(~complete, no_form).alias("reason"))
 
     blank = F.array(*[F.lit("") for _ in parts])
     return let({"texts": F.when(text == "", blank).otherwise(worked)}, checked)

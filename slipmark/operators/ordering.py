@@ -10,18 +10,14 @@ from slipmark.sources.scratch import stored
 _LOCAL_BITS = (1 << 33) - 1
 
 
-def partition_count(df: DataFrame) -> int:
-    """Range partitions to use: the shuffle setting, as for any other exchange."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def in_order(df: DataFrame, order: list[str], name: str = "ordered") -> DataFrame:
     """Range-partition and sort by ``order``, and store with the place of each row: ``_part`` and ``_pos``.
 
     The table is stored, so that later passes see the same ranges also when a task is run again. The order must be
-    total: rows with equal keys have no defined place.
+    total: rows with equal keys have no defined place. No number of ranges is given, so the adaptive planner merges
+    small ones: ``spark.sql.adaptive.coalescePartitions.initialPartitionNum`` can be as high as the largest table needs.
     """
-    ranged = df.repartitionByRange(partition_count(df), *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn(
         "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))
     )

@@ -94,10 +94,12 @@ def rescore_log(
     skip: int = 0,
     limit: int = -1,
     scorer: Scorer = text.number_scorer,
+    count_blank: bool = True,
 ) -> DataFrame:
     """The annotated log where there is one (per log file), filtered, scored, with one row per run of one model.
 
-    ``skip`` leaves out the first rows of each log file, before any filter.
+    ``skip`` leaves out the first rows of each log file, before any filter. A row without an answer is a wrong trial and counts
+    for ``limit``; without ``count_blank`` such rows are left out.
     """
     keep = filters.log_row_filter(taskset, model, style)
     if skip:
@@ -111,8 +113,9 @@ def rescore_log(
         rows = joins.prefer_annotated(chosen, unmarked, [log_file])
     rows = rows.withColumn("target", text.extract_target(F.col("target"), keep_commas=True))
     if limit >= 0:
-        rows = paging.limit_valid(rows, ~text.is_blank(F.col("answer")), order, limit)
-    runs = aggregates.run_summary(rows, log_file, order, scorer)
+        counts = F.lit(True) if count_blank else ~text.is_blank(F.col("answer"))
+        rows = paging.limit_valid(rows, counts, order, limit)
+    runs = aggregates.run_summary(rows, log_file, order, scorer, count_blank)
     return runs.select(
         F.lit(taskset).alias("taskset"), log_file, F.col("model").alias("model_family"), "model", "trials", "scorer",
         "score", "start_time", "end_time",

@@ -12,6 +12,7 @@ from slipmark.functions import text
 from slipmark.functions.draws import SEED
 from slipmark.functions.lets import array_rows
 from slipmark.functions.numbers import number_intervention
+from slipmark.functions.specs import letter_parts, number_parts
 from slipmark.operators import filters, joins, paging
 from slipmark.operators.aggregates import first_wins
 from slipmark.plans.scoring import Scorer
@@ -30,10 +31,31 @@ def pads_by_default(taskset: str, perturbation: str) -> bool:
     return taskset != "test" or "transpose" in perturbation
 
 
+def earlier_sets(earlier: DataFrame, parts: list[str]) -> DataFrame:
+    """The rows of an earlier run (question, target, perturbation, text) whose question has all ``parts``, one for each part.
+
+    One partial aggregate with a column for each part; of repeated rows of a part the largest one is taken.
+    """
+    fields = F.struct("target", "perturbation", "text")
+    of = [F.max(F.when(F.col("perturbation") == p, fields)).alias(f"_{i}") for i, p in enumerate(parts)]
+    held = earlier.where(F.col("perturbation").isin(parts)).groupBy("question").agg(*of).dropna(subset=[f"_{i}" for i in range(len(parts))])
+    rows = F.array(*[F.struct(F.lit(i).alias("part_no"), F.col(f"_{i}").alias("r")) for i in range(len(parts))])
+    return held.select("question", F.explode(rows).alias("e")).select(
+        "question", "e.r.target", "e.part_no", "e.r.perturbation", "e.r.text")
+
+
+def _not_in(rows: DataFrame, held: DataFrame | None, question: str = "question") -> DataFrame:
+    return rows if held is None else joins.skip_completed(rows, held.select(question).distinct(), question)
+
+
+def _merged(made: TaskSet, held: DataFrame | None) -> TaskSet:
+    return made if held is None else TaskSet(held.unionByName(made.rows.select(*held.columns)), made.failures)
+
+
 def _finish(made: DataFrame, order: list[str], limit: int) -> TaskSet:
     """First valid result per question, in order up to ``limit``; failures are questions with none.
 
-    ``made`` has question, target, the order columns and ``made``. It is stored, as filters on the changed texts
+    ``made`` has question, target, the order columns, ``made`` and ``reason``. It is stored, as filters on the changed texts
     would else be pushed into the text work and run it twice.
     """
     made = stored(made, "made")
@@ -43,12 +65,28 @@ def _finish(made: DataFrame, order: list[str], limit: int) -> TaskSet:
     kept = paging.skip_limit(first, order, 0, limit)
     rows = array_rows(kept, ["question", "target"], F.col("made")).drop("pos")
     named = made.where("question is not null")
-    failed = named.select("question").distinct().join(valid.select("question"), "question", "left_anti")
-    unnamed = made.where("question is null").select("question")
-    reason = lambda d, r: d.select("question", F.lit(r).alias("reason"))
-    return TaskSet(
-        rows, reason(failed, "no changed text").unionByName(reason(unnamed, "no question in the prompt"))
-    )
+    outcome = named.groupBy("question").agg(F.max(F.size("made") > 0).alias("any"), F.min("reason").alias("reason"))
+    failed = outcome.where("not any").select("question", "reason")
+    unnamed = made.where("question is null").select("question", F.lit("no question in the prompt").alias("reason"))
+    return TaskSet(rows, failed.unionByName(unnamed))
+
+
+def right_rows(
+    log: DataFrame, model: str, style: str, order: list[str], key: str, skip: int = 0, sample_size: int = 0,
+    sample_path: str | None = None, seed: str = SEED, scorer: Scorer = text.number_scorer,
+) -> DataFrame:
+    """Right answers of a model and style behind the first ``skip`` rows, or a sample of them."""
+    rows = paging.skip_rows(log, order, skip) if skip else log
+    rows = filters.correct_only(rows, model, style, scorer)
+    if sample_size:
+        by = ["model", "style"]
+        sample = (
+            paging.stored_sample(rows, key, sample_size, f"{sample_path}/{model.replace('/', '-')}", by)
+            if sample_path
+            else paging.draw_sample(rows.select(key), key, sample_size, seed)
+        )
+        rows = joins.keep_sample(rows, sample, key)
+    return rows
 
 
 def build_number_taskset(
@@ -72,32 +110,29 @@ def build_number_taskset(
     nonnumeric: str = "",
     seed: str = SEED,
     scorer: Scorer = text.number_scorer,
+    earlier: DataFrame | None = None,
 ) -> TaskSet:
     """Right answers of a model and style -> sample -> not yet done -> one changed text per spec part.
 
-    ``done`` has the questions of earlier results (for several parts: those present in all of them).
+    ``done`` has questions to leave out. ``earlier`` has the rows of earlier maps (question, target, perturbation, text): questions
+    that all of them hold are not made again, and their rows stand in the result next to the new ones.
     """
     order = order or [key]
-    rows = paging.skip_rows(log, order, skip) if skip else log
-    rows = filters.correct_only(rows, model, style, scorer)
-    if sample_size:
-        by = ["model", "style"]
-        sample = (
-            paging.stored_sample(rows, key, sample_size, f"{sample_path}/{model.replace('/', '-')}", by)
-            if sample_path
-            else paging.draw_sample(rows.select(key), key, sample_size, seed)
-        )
-        rows = joins.keep_sample(rows, sample, key)
+    rows = right_rows(log, model, style, order, key, skip, sample_size, sample_path, seed, scorer)
     if done is not None:
         rows = joins.skip_completed(rows, done, "question")
+    held = None
+    if earlier is not None:
+        held = stored(earlier_sets(earlier, [p.name for p in number_parts(perturbation, min_adjust, max_adjust)]), "earlier-sets")
+        rows = _not_in(rows, held)
     padding = pads_by_default(taskset, perturbation) if handle_padding is None else handle_padding
-    count = int(nonnumeric.split("typo")[1]) if "typo" in nonnumeric else 0
+    count = letter_parts(nonnumeric)[0].count if nonnumeric else 0
     made = number_intervention(
         F.col(key), F.coalesce("full_prompt", F.lit("")), position, perturbation, min_adjust, max_adjust, padding,
-        remove_steps, seed, letter.matched_noise(count, seed) if count else None,
+        remove_steps, seed, letter.matched_noise(count, seed) if count else None, reasons=True,
     )
     columns = dict.fromkeys(["question", "target", *order])
-    return _finish(rows.select(*columns, made.alias("made")), order, limit)
+    return _merged(_finish(rows.select(*columns, made.alias("_out")).select(*columns, "_out.made", "_out.reason"), order, limit), held)
 
 
 def letter_input_of_log(log: DataFrame, order: list[str]) -> DataFrame:
@@ -109,6 +144,14 @@ def letter_input_of_log(log: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def letter_input_of_original(
+    log: DataFrame, model: str, style: str, order: list[str], key: str = "row_id", skip: int = 0, sample_size: int = 0,
+    sample_path: str | None = None, seed: str = SEED, scorer: Scorer = text.number_scorer,
+) -> DataFrame:
+    """Question and reasoning of the right answers of the original log, behind its first ``skip`` rows, or of a sample of them."""
+    return letter_input_of_log(right_rows(log, model, style, order, key, skip, sample_size, sample_path, seed, scorer), order)
+
+
 def choose_letter_input(
     annotated: DataFrame, task_map: DataFrame, taskset: str, model: str, style: str, order: list[str]
 ) -> DataFrame:
@@ -130,16 +173,22 @@ def build_letter_taskset(
     limit: int = -1,
     done: DataFrame | None = None,
     seed: str = SEED,
+    earlier: DataFrame | None = None,
 ) -> TaskSet:
-    """Noisy texts of ``rows`` (question, reasoning, target): one per spec part."""
+    """Noisy texts of ``rows`` (question, reasoning, target): one per spec part; ``done`` and ``earlier`` as for number task sets."""
     order = order or [key]
     if done is not None:
         rows = joins.skip_completed(rows, done, "question")
+    held = None
+    if earlier is not None:
+        held = stored(earlier_sets(earlier, [p.name for p in letter_parts(perturbation)]), "earlier-sets")
+        rows = _not_in(rows, held)
     noisy = letter.letter_noise(F.col(key), F.coalesce("reasoning", F.lit("")), perturbation, seed)
     none = F.array().cast("array<struct<part_no:int,perturbation:string,text:string>>")
     made = F.when(F.col("question").isNotNull(), noisy).otherwise(none)
     columns = dict.fromkeys(["question", "target", *order])
-    return _finish(rows.select(*columns, made.alias("made")), order, limit)
+    made_rows = rows.select(*columns, made.alias("made"), F.lit("too few letters").alias("reason"))
+    return _merged(_finish(made_rows, order, limit), held)
 
 
 def evaluation_questions(task_map: DataFrame, style: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slipmark.functions import fixed, text
+from slipmark.functions import fixed, messages, text
 from slipmark.operators import aggregates, filters
 from slipmark.plans import evaluate, generate, scoring, tasksets
 from slipmark.queries import views as V
@@ -92,6 +92,41 @@ def sink_task_map(spark, sf_dir):
     return back[0].unionByName(back[1]).select("question", "reasoning", "target", "perturbation")
 
 
+@query("taskset_resume_merged", candidates_sql(_right_source()) + "," + outputs_sql("propcalc", ["add1", "add101"], False)
+       + """
+select s.question, s.target, o.part_no, o.perturbation, case when s.error_type = 'calculation' then concat('Earlier: ', o.text) else o.text end as text
+from outputs o join scored s on s.row_id = o.id""", "scored")
+def taskset_resume_merged(spark, sf_dir):
+    """Maps of an earlier run, written and read: one perturbation has the annotated questions, the other one those of one error
+    type. Only questions in both maps are taken over; the result has old and new ones."""
+    names = ["add1", "add101"]
+    log = V.response_log(spark, sf_dir)
+    before = _number_taskset(spark, sf_dir, position="propcalc", perturbation="add1_add101").rows
+    types = log.where((F.col("model") == GPT) & (F.col("style") == STYLE)).where("error_type is not null").select("question", "error_type")
+    held = before.join(types, "question").where("perturbation = 'add1' or error_type = 'calculation'")
+    path = new_path(spark, "earlier-maps")
+    problems.write_task_maps(held.withColumn("text", F.concat(F.lit("Earlier: "), "text")), path, names)
+    earlier = problems.read_task_maps(spark, path, names)
+    return _number_taskset(spark, sf_dir, position="propcalc", perturbation="add1_add101", earlier=earlier).rows
+
+
+@query("build_letter_taskset_original", f"""with recursive src as (
+  select row_id as id, question, target, split_part(full_prompt, 'think step by step.', 2) as t
+  from (select *, row_number() over (order by row_id) as place from scored)
+  where place > 500 and ok and answer <> '' and model = '{GPT}' and style = '{STYLE}'
+  order by md5(concat_ws('|', '7', row_id, 'sample')), row_id limit 300),
+counted as (select *, len(regexp_extract_all(t, '\\p{{L}}')) as n from src),""".replace("\\\\", "\\") + positions_sql("counted", 10)
+       + f"""
+select s.question, s.target, 0 as part_no, 'typo10' as perturbation, trim(z.t, {STRIP}) as text
+from ({noisy_sql("counted", "'letter:typo10'", 11, 10)}) z join src s on s.id = z.id""", "scored")
+def build_letter_taskset_original(spark, sf_dir):
+    """Letter noise on the right answers of the original log: its first 500 rows are skipped, and 300 of the rest sampled."""
+    log = V.response_log(spark, sf_dir)
+    asked = log.withColumn("question", F.split_part("full_prompt", F.lit(" step by step"), F.lit(1)))
+    rows = tasksets.letter_input_of_original(asked, GPT, STYLE, ["row_id"], skip=500, sample_size=fixed.SAMPLE_SIZE)
+    return tasksets.build_letter_taskset(rows, "typo10").rows
+
+
 @query("build_letter_taskset", candidates_sql(_right_source()).replace("with ", "with recursive ", 1) + ","
        + outputs_sql("copy", ["random"], False)
        + r""", counted as (select id, text as t, len(regexp_extract_all(text, '\p{L}')) as n from outputs),"""
@@ -188,7 +223,7 @@ def rescore_log_skipped(spark, sf_dir):
     log = V.response_log(spark, sf_dir).withColumn("log_file", F.year("start_ts").cast("string"))
     annotated = log.where(F.year("start_ts") % 2 == 0)
     return evaluate.rescore_log(
-        log, "test_adjusted_position-calc", GPT, STYLE, "log_file", ["row_id"], annotated, skip=500)
+        log, "test_adjusted_position-calc", GPT, STYLE, "log_file", ["row_id"], annotated, skip=500, count_blank=False)
 
 
 @query("rescore_log", f"""
@@ -202,7 +237,37 @@ def rescore_log(spark, sf_dir):
     log = V.response_log(spark, sf_dir).withColumn("log_file", F.year("start_ts").cast("string"))
     annotated = log.where(F.year("start_ts") % 2 == 0)
     return evaluate.rescore_log(
-        log, "test_adjusted_position-calc", GPT, STYLE, "log_file", ["row_id"], annotated)
+        log, "test_adjusted_position-calc", GPT, STYLE, "log_file", ["row_id"], annotated, count_blank=False)
+
+
+@query("rescore_log_blanks", f"""
+select 'test_adjusted_position-calc' as taskset, log_file, model as model_family, model, {SUMMARY_SQL}
+from (select * replace (case when answer is null or answer = '' then false else ok end as ok), cast(year(start_ts) as varchar) as log_file
+      from scored)
+where model = '{GPT}' and style = '{STYLE}' and (year(start_ts) % 2 = 1 or error_type is null or error_type = 'calculation')
+group by log_file, model""", "scored")
+def rescore_log_blanks(spark, sf_dir):
+    """Rows without an answer are wrong trials, as re-scoring has it by default."""
+    log = V.response_log(spark, sf_dir).withColumn("log_file", F.year("start_ts").cast("string"))
+    annotated = log.where(F.year("start_ts") % 2 == 0)
+    return evaluate.rescore_log(log, "test_adjusted_position-calc", GPT, STYLE, "log_file", ["row_id"], annotated)
+
+
+@query("generate_stage_messages", """
+select row_id, concat('A: ', trim(replace(substr(full_prompt, strpos(full_prompt, 'A:') + 2), 'A:', ''))) as prompt,
+       concat('2 messages, ', length(concat('A: ', trim(replace(substr(full_prompt, strpos(full_prompt, 'A:') + 2), 'A:', '')))),
+              ' characters') as response
+from response_log""", "response_log")
+def generate_stage_messages(spark, sf_dir):
+    """Ready message lists as input: each is sent as it is, and known by its last content."""
+    log = V.response_log(spark, sf_dir)
+    asked = log.select("row_id", messages.build_messages(F.col("full_prompt")).alias("messages"))
+
+    def answer(frame):
+        sizes, last = frame["messages"].str.len().astype(str), frame["prompt"].str.len().astype(str)
+        return sizes + " messages, " + last + " characters"
+
+    return generate.generate_from_messages(asked, answer).select("row_id", "prompt", "response")
 
 
 @query("generate_stage", f"""

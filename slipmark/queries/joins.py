@@ -162,15 +162,11 @@ from response_log r left join (select id, count(*) as n from cands where positio
 where r.answer is not null and r.row_id not in (select id from outputs)""", "response_log")
 def collect_failures(spark, sf_dir):
     """Answer and target as reasoning: a wrong answer has no copied number, so it fails, with the reason."""
-    from slipmark.functions.numbers import select_candidates
-
     log = V.response_log(spark, sf_dir).where("answer is not null")
     log = log.select("row_id", "question", F.concat("answer", F.lit(" "), "target").alias("t"))
     made = stored(log.select(
-        "question", number_intervention(F.col("row_id"), F.col("t"), "copy", "add1").alias("made"),
-        F.size(select_candidates(F.col("t"), "copy")).alias("n")), "made")
-    reason = F.when(F.col("n") == 0, "no number at this position").otherwise("number has no changed form")
-    return joins.failures(made, "question", F.col("made"), reason)
+        "question", number_intervention(F.col("row_id"), F.col("t"), "copy", "add1", reasons=True).alias("out")), "made")
+    return joins.failures(made, "question", F.col("out.made"), F.col("out.reason"))
 
 
 @query("src_prefer_annotated", """

@@ -22,8 +22,19 @@ def folder(spark: SparkSession) -> str:
     return base
 
 
+def run_folder(spark: SparkSession) -> str:
+    """All scratch tables of one application are in one folder."""
+    return f"{folder(spark).rstrip('/')}/slipmark-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark).rstrip('/')}/slipmark-{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_run(spark: SparkSession) -> bool:
+    """Delete the scratch tables of this application, once none of its results is read any more; tells whether there were any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

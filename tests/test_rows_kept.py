@@ -70,6 +70,61 @@ def test_no_local_folder_on_a_cluster():
         scratch.folder(Session())
 
 
+def test_a_run_of_scratch_tables_can_be_cleared(spark):
+    import os
+
+    scratch.stored(spark.range(3), "some")
+    where = scratch.run_folder(spark).removeprefix("file://")
+    assert any(name.startswith("some-") for name in os.listdir(where))
+    kept = os.path.join(os.path.dirname(where), "not-of-this-run")
+    os.makedirs(kept, exist_ok=True)
+    assert scratch.clear_run(spark) and not os.path.exists(where) and os.path.exists(kept)
+    assert not scratch.clear_run(spark)
+    assert scratch.stored(spark.range(3), "again").count() == 3
+
+
+def test_blank_answers_are_wrong_trials_when_a_log_is_scored_again(spark):
+    rows = log(spark, [("m", "7"), ("m", None), ("m", ""), ("m", "7")])
+    score = lambda **more: [(r.trials, r.score) for r in rescore_log(rows, "test", "m", "sbs", "log_file", ["row_id"], **more).collect()]
+    assert score() == [(4, 0.5)] and score(limit=2) == [(2, 0.5)]
+    assert score(count_blank=False) == [(2, 1.0)]
+
+
+def test_earlier_rows_are_kept_where_all_parts_have_the_question(spark):
+    from slipmark.plans.tasksets import build_letter_taskset, earlier_sets
+
+    old = [("q0", "1", "typo1", "a"), ("q0", "1", "typo2", "b"), ("q0", "1", "typo2", "a"), ("q1", "2", "typo1", "c"), ("q0", "1", "typo9", "z"), ("q2", None, "typo1", "d"), ("q2", None, "typo2", "e")]
+    earlier = spark.createDataFrame(old, "question string, target string, perturbation string, text string")
+    held = {(r.question, r.part_no, r.text) for r in earlier_sets(earlier, ["typo1", "typo2"]).collect()}
+    assert held == {("q0", 0, "a"), ("q0", 1, "b"), ("q2", 0, "d"), ("q2", 1, "e")}
+    rows = spark.createDataFrame([("q0", "some words here", "1", 0), ("q1", "other words here", "2", 1), ("q3", "x", "3", 2), (None, "some words here", "4", 3)],
+                                 "question string, reasoning string, target string, row_id int")
+    made = build_letter_taskset(rows, "typo1_typo2", earlier=earlier)
+    assert sorted((r.question, r.part_no) for r in made.rows.collect()) == [(q, i) for q in ("q0", "q1", "q2") for i in (0, 1)]
+    assert {(r.question, r.reason) for r in made.failures.collect()} == {("q3", "too few letters"), (None, "no question in the prompt")}
+    assert build_letter_taskset(rows, "typo1_typo2", earlier=earlier.limit(0)).rows.count() == 4
+
+
+def test_reasons_of_number_changes(spark):
+    from slipmark.functions.noise import matched_noise
+    from slipmark.functions.numbers import NO_FORM, NO_NUMBER, number_intervention
+
+    df = spark.createDataFrame([("a", "no digits"), ("b", "5 and 5"), ("c", "")], "k string, t string")
+    got = lambda **more: {r.k: (len(r.made), r.reason) for r in df.select("k", number_intervention(
+        df.k, df.t, "any", "add1", reasons=True, **more).alias("o")).select("k", "o.*").collect()}
+    assert got() == {"a": (0, NO_NUMBER), "b": (1, None), "c": (1, None)}
+    noisy = got(noise=matched_noise(90))
+    assert noisy["a"] == (0, NO_NUMBER) and noisy["b"] == (0, NO_FORM + ", or too few letters")
+
+
+def test_message_lists_with_a_closing_message(spark):
+    from slipmark.plans.generate import generate_from_messages
+
+    df = spark.sql("select 1 as id, array(named_struct('role', 'user', 'content', 'hello')) as messages")
+    row = generate_from_messages(df, lambda f: f["messages"].map(lambda m: m[-1]["content"]), "Be brief.").first()
+    assert (row.prompt, row.response, len(row.messages)) == ("hello", "Be brief.", 2)
+
+
 def test_integers_of_any_length_are_compared_by_their_digits(spark):
     from slipmark.functions.text import number_scorer
 
