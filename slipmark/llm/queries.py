@@ -176,3 +176,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op13_bounded_packing")
+def op13_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from slipmark.llm.packing import digest, pack
+
+    return digest(pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
