@@ -185,3 +185,37 @@ def op13_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slipmark.llm.packing import digest, pack
 
     return digest(pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+_NEGATIVES = """
+with used as (
+    select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda c: floor(256 * cast(c as double))) as x
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), scored as (
+    select a.row, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.x, b.x) as bigint) as score
+    from used a join used b on a.row <> b.row where a.vec_id % 50 = 0
+), positives as (
+    select row, anchor_id, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by row order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id, cast(row_number() over (
+        partition by p.row, p.positive_id order by s.score desc, s.vec_id) as integer) as rank,
+    s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on p.row = s.row and not s.same
+    and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3
+"""
+
+
+@query("op12_vertical_negatives", _NEGATIVES)
+def op12_vertical_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from slipmark.llm.hard_negatives import mine
+
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
