@@ -219,3 +219,10 @@ def op12_vertical_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_qdwh_whitening")
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slipmark.llm.embedding_whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
