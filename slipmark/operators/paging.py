@@ -13,17 +13,14 @@ from pyspark.sql import functions as F
 from slipmark.functions import fixed
 from slipmark.functions.draws import SEED, digest
 from slipmark.operators.ordering import number_rows
+from slipmark.operators.selection import between_ranks
 from slipmark.sources.scratch import stored
 
 
 def skip_limit(df: DataFrame, order: list[str], skip: int = 0, limit: int = -1) -> DataFrame:
-    """Skip ``skip`` rows in order and take ``limit`` (all for a negative limit), by row number whatever the size."""
-    if skip == 0 and limit < 0:
-        return df
-    numbered = number_rows(df, order, "_row_no").where(F.col("_row_no") >= skip)
-    if limit >= 0:
-        numbered = numbered.where(F.col("_row_no") < skip + limit)
-    return numbered.drop("_row_no")
+    """Skip ``skip`` rows in order and take ``limit`` (all for a negative limit); the keys at the cuts are selected, whatever the size."""
+    skip = max(skip, 0)
+    return between_ranks(df, order, skip, None if limit < 0 else skip + limit)
 
 
 def skip_rows(df: DataFrame, order: list[str], skip: int) -> DataFrame:
@@ -41,9 +38,12 @@ def round_robin(df: DataFrame, order: list[str], batches: int) -> DataFrame:
 
 
 def draw_sample(df: DataFrame, key: str, size: int, seed: str = SEED) -> DataFrame:
-    """A uniform sample of ``size`` rows by hash order of the key; the same rows whenever it is drawn again."""
+    """A uniform sample of ``size`` rows by hash order of the key; the same rows whenever it is drawn again.
+
+    Only the key and its hash are read to find the cut.
+    """
     ranked = df.withColumn("_rank", digest(F.col(key), "sample", seed))
-    return skip_limit(ranked, ["_rank", key], 0, size).drop("_rank")
+    return between_ranks(ranked, ["_rank", key], 0, size).drop("_rank")
 
 
 def stored_sample(df: DataFrame, key: str, size: int, path: str, by: list[str]) -> DataFrame:
