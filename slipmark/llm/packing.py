@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,9 @@ from slipmark.llm.batches import slices, text_bytes
 from slipmark.sources.scratch import stored
 
 #: Text handled at once in a task, bytes that a worker's lexicon may hold before it begins anew, and those of an entry by itself.
-SLICE_BYTES, LEXICON_BYTES, UNIT_BYTES = 1 << 20, 96 << 20, 180
+SLICE_BYTES, LEXICON_BYTES, UNIT_BYTES = 1 << 20, 160 << 20, 180
+#: New units that the tokenizer gets as one text.
+BATCH_UNITS = 1024
 
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
 _CLASS = np.full(256, _OTHER, dtype=np.uint8)
@@ -26,6 +29,7 @@ _CLASS[48:58] = _DIGIT
 _CLASS[65:91] = _CLASS[97:123] = _LETTER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_HAS_DIGIT = re.compile(rb"[0-9]")
 
 
 def unit_cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -59,6 +63,7 @@ class Lexicon:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.zero,) = self.encode(["0"])[0]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
@@ -71,17 +76,36 @@ class Lexicon:
         """Ids of whole texts by the library."""
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _batch(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units, one after the other, and how many each has.
+
+        Units without an ASCII digit are encoded as one text with a ``0`` between them, which is a token of its own.
+        """
+        if any(_HAS_DIGIT.search(u) for u in units):
+            found = self.encode([u.decode() for u in units])
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+        ids = np.array(self.encode([(b" 0 ".join(units) + b" 0").decode()])[0], np.uint32)
+        ends = np.flatnonzero(ids == self.zero)
+        return ids[ids != self.zero], np.diff(ends, prepend=-1) - 1
+
     def _add(self, units: list[bytes]) -> None:
-        n, need = len(self.place), len(self.place) + len(units)
-        if need > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * need), np.resize(self.size, 2 * need)
-        for unit, ids in zip(units, self.encode([u.decode() for u in units]), strict=True):
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[n], self.size[n] = self.used, len(ids)
-            self.place[unit], self.used, n = n, self.used + len(ids), n + 1
-            self.kept += len(unit) + 4 * len(ids) + UNIT_BYTES
+        digits = [u for u in units if _HAS_DIGIT.search(u)]
+        plain = [u for u in units if not _HAS_DIGIT.search(u)] if digits else units
+        for some in (digits, *(plain[i : i + BATCH_UNITS] for i in range(0, len(plain), BATCH_UNITS))):
+            if not some:
+                continue
+            ids, size = self._batch(some)
+            n, used = len(self.place), self.used
+            if n + len(some) > len(self.at):
+                self.at, self.size = np.resize(self.at, 2 * (n + len(some))), np.resize(self.size, 2 * (n + len(some)))
+            if used + len(ids) > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * (used + len(ids)))
+            self.ids[used : used + len(ids)] = ids
+            self.size[n : n + len(some)] = size
+            self.at[n : n + len(some)] = used + np.cumsum(size) - size
+            self.place.update(zip(some, range(n, n + len(some)), strict=True))
+            self.used += len(ids)
+            self.kept += sum(map(len, some)) + 4 * len(ids) + UNIT_BYTES * len(some)
 
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, one after the other, and where each text's begin."""
