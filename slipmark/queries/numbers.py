@@ -10,49 +10,53 @@ from slipmark.functions.lets import array_rows
 from slipmark.queries import views as V
 from slipmark.queries.registry import query
 
-# Tokens of a text as rows. ``pieces`` tile the text, so places are running sums of their lengths.
+# Tokens of a text as rows. ``pieces`` tile the text up to its last number, so places are running sums of their lengths, and
+# the characters beside a number are in its own piece, in the next one or in the tail: no join back to the text.
 NUM = r"[0-9]+(?:,[0-9]{3})*(?:[.][0-9]*)?"
 BLANK = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 
 
-def tokens_sql(source: str, name: str, text_column: str = "text") -> str:
+def tokens_sql(source: str, name: str, text_column: str = "text", keep: str = "") -> str:
+    """``keep``: further columns of the source, each with a comma behind."""
     return rf"""
 {name} as materialized (
-  select id, idx, num, cast(fin - length(num) as int) as start, cast(fin as int) as fin, try_cast(replace(num, ',', '') as double) as value
-  from (select id, idx, num, sum(length(piece)) over (partition by id order by idx) as fin
-        from (select id, unnest(pieces) as piece, unnest(nums) as num, generate_subscripts(nums, 1) - 1 as idx
-              from (select id, regexp_extract_all({text_column}, '(?s)[^0-9]*{NUM}') as pieces,
-                           regexp_extract_all({text_column}, '(?s)[^0-9]*({NUM})', 1) as nums from {source}))))"""
-
-
-# Step marks without a loop: of the marks N that stand alone between blanks, the run 1..k without a gap counts;
-# mark N is masked at its first place from the first place of mark N - 1 on (N = 1: from the boundary on).
+  select id, {keep} idx, num, cast(fin - length(num) as int) as start, cast(fin as int) as fin,
+         try_cast(replace(num, ',', '') as double) as value,
+         substr(piece, length(piece) - length(num), least(1, length(piece) - length(num))) as char_before,
+         coalesce(lead(left(piece, 1)) over (partition by id order by idx), char_behind) as char_after
+  from (select id, {keep} idx, num, piece, char_behind, sum(length(piece)) over (partition by id order by idx) as fin
+        from (select id, {keep} unnest(pieces) as piece, unnest(nums) as num, generate_subscripts(nums, 1) - 1 as idx, char_behind
+              from (select id, {keep} regexp_extract_all({text_column}, '(?s)[^0-9]*{NUM}') as pieces,
+                           regexp_extract_all({text_column}, '(?s)[^0-9]*({NUM})', 1) as nums,
+                           left(regexp_extract({text_column}, '[^0-9]*$'), 1) as char_behind from {source}))))"""
+
+
+# Step marks without a loop: of the marks N that stand alone between blanks, the run 1..k without a gap counts
+# (there the N-th different mark is N); mark N is masked at its first place from the first place of mark N - 1 on
+# (N = 1: from the boundary on).
 MASK_SQL = rf"""
 source as materialized (select id, text, case when strpos(text, concat(' Let', chr(39), 's think step by step.')) > 0
                             then strpos(text, concat(' Let', chr(39), 's think step by step.')) + 25 else 0 end as b
            from __SOURCE__),
-{tokens_sql("source", "raw_tokens")},
+{tokens_sql("source", "raw_tokens", keep="b,")},
 marks as (
-  select t.id, t.start, cast(regexp_extract(t.num, '[0-9]+') as int) as n
-  from raw_tokens t join source x on x.id = t.id
-  where regexp_matches(t.num, '^[1-9][0-9]{{0,3}}[.]$')
-    and (t.start = 0 or regexp_matches(substr(x.text, t.start, 1), '{BLANK}'))
-    and regexp_matches(substr(x.text, t.fin + 1, 1), '{BLANK}')),
-firsts as (select id, n, min(start) as start from marks group by id, n),
-runs as (select id, max(n) as k from (select id, n, row_number() over (partition by id order by n) as rn from firsts)
-         where n = rn group by id),
-masked_marks as (
-  select m.id, m.n, min(m.start) as start
-  from marks m join runs r on r.id = m.id and m.n <= r.k join source x on x.id = m.id
-  left join firsts f on f.id = m.id and f.n = m.n - 1
-  where m.start >= case when m.n = 1 then case when x.b > 0 then x.b + 1 else 0 end else f.start end
-  group by m.id, m.n)"""
+  select id, b, cast(replace(num, '.', '') as int) as n, min(start) as first, list(start order by start) as starts
+  from raw_tokens
+  where length(num) between 2 and 5 and regexp_matches(num, '^[1-9][0-9]{{0,3}}[.]$')
+    and (start = 0 or regexp_matches(char_before, '{BLANK}')) and regexp_matches(char_after, '{BLANK}')
+  group by id, b, num),
+bounded as (
+  select id, n, starts, row_number() over (partition by id order by n) as place,
+         case when n = 1 then case when b > 0 then b + 1 else 0 end else lag(first) over (partition by id order by n) end as bound
+  from marks),
+masked_marks as materialized (
+  select * from (select id, n, list_min(list_filter(starts, lambda s: s >= bound)) as start from bounded where place = n)
+  where start is not null)"""
 
 TOKENS_SQL = MASK_SQL + rf""",
 toks as materialized (
-  select t.id, row_number() over (partition by t.id order by t.start) - 1 as i, t.num, t.start, t.fin, t.value, x.b, x.text
-  from raw_tokens t join source x on x.id = t.id
-  left join masked_marks m on m.id = t.id and m.start = t.start
+  select t.id, row_number() over (partition by t.id order by t.start) - 1 as i, t.num, t.start, t.fin, t.value, t.b
+  from raw_tokens t left join masked_marks m on m.id = t.id and m.start = t.start
   where m.id is null),
 ranked as materialized (
   select *, row_number() over (partition by id, value order by i) as nth,
@@ -130,28 +134,27 @@ def outputs_sql(position: str, parts: list[str], pad: bool = True) -> str:
     tail = ", substr(text, fin + 1, start2 - fin), new" if position == "propcalc" else ""
     return f"""
 picked as (select id, {draw_sql("id", "'place'")} % count(*) as pick from cands where position = '{position}' group by id),
-chosen as (select c.* from cands c join picked p on p.id = c.id and p.pick = c.j where c.position = '{position}'),
-changed as ({rows}),
-failed as (select distinct id from changed where new is null),
+chosen as (select c.*, x.text from cands c join picked p on p.id = c.id and p.pick = c.j join source x on x.id = c.id
+           where c.position = '{position}'),
+changed as (select *, bool_or(new is null) over (partition by id) as failed from ({rows})),
 outputs as (
   select id, part_no, perturbation,
          trim(concat(substr(text, b + 1, start - b), new{tail}), ' ' || chr(9) || chr(10) || chr(13)) as text
-  from changed where id not in (select id from failed))"""
+  from changed where not failed)"""
 
 
 @query(
     "mask_step_numbers",
     mask_sql("texts")
     + r"""
-select x.id, coalesce(m.masked, x.text) as masked
+select x.id, case when places is null then x.text else list_reduce(
+    list_prepend(x.text, list_transform(places, lambda p: concat(p.start, ',', p.n))),
+    lambda acc, m: concat(left(acc, greatest(cast(split_part(m, ',', 1) as int) - 1, 0)),
+                          case when split_part(m, ',', 1) = '0' then '' else ' ' end,
+                          repeat('@', length(split_part(m, ',', 2))), '. ',
+                          substr(acc, cast(split_part(m, ',', 1) as int) + length(split_part(m, ',', 2)) + 3))) end as masked
 from source x left join (
-  select id, list_reduce(list(concat(start, ',', n) order by start),
-      lambda acc, m: concat(left(acc, greatest(cast(split_part(m, ',', 1) as int) - 1, 0)),
-                            case when split_part(m, ',', 1) = '0' then '' else ' ' end,
-                            repeat('@', length(split_part(m, ',', 2))), '. ',
-                            substr(acc, cast(split_part(m, ',', 1) as int) + length(split_part(m, ',', 2)) + 3)),
-      any_value(text)) as masked
-  from masked_marks join source using (id) group by id) m on m.id = x.id""",
+  select id, list({'start': start, 'n': n} order by start) as places from masked_marks group by id) m on m.id = x.id""",
     "texts",
 )
 def mask_step_numbers(spark, sf_dir):
@@ -222,8 +225,7 @@ def _intervention(position, spec, noise=None, handle_padding=True):
 
 def _intervention_sql(position, parts, pad=True):
     return candidates_sql("texts") + "," + outputs_sql(position, parts, pad) + (
-        "\nselect id, part_no, perturbation, text from outputs where id not in (select id from source where text = '')"
-        " union all "
+        "\nselect id, part_no, perturbation, text from outputs union all "
         + " union all ".join(f"select id, {i}, '{p}', '' from source where text = ''" for i, p in enumerate(parts))
     )
 
