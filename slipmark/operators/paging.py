@@ -81,6 +81,7 @@ def token_budget_batches(
     token_limit: int,
     chunk_rows: int = 100_000,
     own_cost: bool = False,
+    fan: int = 64,
 ) -> DataFrame:
     """Greedy batches in order within each shard; gives shard, order and ``batch``, counted from 0 per shard.
 
@@ -89,51 +90,90 @@ def token_budget_batches(
     into chunks of ``chunk_rows`` items, and a first pass maps, for each chunk, the cost of the batch that is open
     before it to the cost of the batch that is open after it. The map is a step function: the first close in a chunk
     lies within one batch length, so it has at most (items in a batch + 2) steps, and equal neighbours are merged.
-    Chaining the maps of a shard is the only sequential part. A second pass then numbers all chunks at once.
+    Two neighbours' maps compose to a map of the same kind, so the chunks are a tree: ``fan`` neighbours at a time
+    become one map, round after round, until a shard has at most ``fan`` of them; then the states before each go down
+    the same tree, and a last pass numbers all chunks at once. No group holds more than ``fan`` maps or one chunk.
+
+    A null cost is 0. Null shards are one shard; an empty table gives no rows.
     """
-    numbered = number_rows(df.select(shard, *order, cost.cast("long").alias("_cost")), [shard, *order], "_no")
-    # stored, as the shard starts, the first and the second pass all read it
+    costs = F.greatest(F.coalesce(cost.cast("long"), F.lit(0)), F.lit(0))
+    numbered = number_rows(df.select(shard, *order, costs.alias("_cost")), [shard, *order], "_no")
+    # stored, as the shard starts, the first and the last pass all read it
     numbered = stored(numbered, "budget-items")
     starts = numbered.groupBy(shard).agg(F.min("_no").alias("_first"))  # one row per shard
-    placed = numbered.join(starts, shard).withColumn("_no", F.col("_no") - F.col("_first")).drop("_first")
-    placed = placed.withColumn("_chunk", F.floor(F.col("_no") / chunk_rows))
+    same = F.col(shard).eqNullSafe(F.col("_shard"))
+    placed = numbered.join(starts.withColumnRenamed(shard, "_shard"), same).withColumn("_no", F.col("_no") - F.col("_first"))
+    placed = placed.drop("_shard", "_first").withColumn("_chunk", F.floor(F.col("_no") / chunk_rows))
     types = dict(df.dtypes)
+    key_type, state = f"`{shard}` {types[shard]}, _chunk long", "_tokens long, _before long, _batch long"
+    map_schema = f"{key_type}, kind int, need long, tokens long, closed long, last_cost long"
+    columns = ["kind", "need", "tokens", "closed", "last_cost"]
+
+    def framed(rows: list[tuple], key: tuple, names: list[str]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        out.insert(0, "_chunk", int(key[1]))
+        out.insert(0, shard, pd.Series([key[0]] * len(out), dtype=object))
+        return out
 
     def outcomes(key, pdf):
-        costs = pdf.sort_values("_no")["_cost"].to_numpy(np.int64)
-        rows = _chunk_map(costs, token_limit, own_cost)
-        out = pd.DataFrame(rows, columns=["kind", "need", "tokens", "closed", "last_cost"])
-        out.insert(0, "_chunk", key[1])
-        out.insert(0, shard, key[0])
-        return out
+        ordered = pdf.sort_values("_no")["_cost"].to_numpy(np.int64)
+        return framed(_chunk_map(ordered, token_limit, own_cost), key, columns)
+
+    def composed(key, pdf):
+        maps = _maps(pdf)
+        whole = maps[0][1]
+        for _, rows in maps[1:]:
+            whole = _compose(whole, rows, token_limit, own_cost)
+        return framed(whole, key, columns)
 
-    maps = placed.select(shard, "_chunk", "_no", "_cost").groupBy(shard, "_chunk").applyInPandas(
-        outcomes,
-        f"`{shard}` {types[shard]}, _chunk long, kind int, need long, tokens long, closed long, last_cost long",
-    )
-
-    def chain(key, pdf):
-        out = []
-        state = (0, 0, 0)
-        for chunk, rows in pdf.groupby("_chunk", sort=True):
-            out.append((key[0], int(chunk), *state))
-            state = _follow(rows, *state, token_limit, own_cost)
+    def followed(key, pdf):
+        first = pdf.iloc[0]
+        at, out = (int(first["_tokens"]), int(first["_before"]), int(first["_batch"])), []
+        for chunk, rows in _maps(pdf):
+            out.append((key[0], chunk, *at))
+            at = _follow(rows, *at, token_limit, own_cost)
         return pd.DataFrame(out, columns=[shard, "_chunk", "_tokens", "_before", "_batch"])
 
-    entries = maps.groupBy(shard).applyInPandas(
-        chain, f"`{shard}` {types[shard]}, _chunk long, _tokens long, _before long, _batch long"
-    )
+    up = F.expr(f"_chunk div {fan}").alias("_up")
+    levels = [stored(
+        placed.select(shard, "_chunk", "_no", "_cost").groupBy(shard, "_chunk").applyInPandas(outcomes, map_schema), "budget-maps"
+    )]
+    most = levels[0].agg(F.max("_chunk")).first()[0] or 0
+    while most >= fan:
+        levels.append(stored(levels[-1].groupBy(shard, up).applyInPandas(composed, map_schema), "budget-maps"))
+        most //= fan
+    begin = {"_tokens": F.lit(_NONE_OPEN), "_before": F.lit(0), "_batch": F.lit(-1)}
+    entries = levels[-1].withColumns(begin).groupBy(shard, up).applyInPandas(followed, f"{key_type}, {state}")
+    for maps in reversed(levels[:-1]):
+        above = stored(entries, "budget-states").withColumnsRenamed({shard: "_shard", "_chunk": "_parent"})
+        inside = maps.join(above, F.col(shard).eqNullSafe(F.col("_shard")) & (F.expr(f"_chunk div {fan}") == F.col("_parent")))
+        entries = inside.groupBy(shard, up).applyInPandas(followed, f"{key_type}, {state}")
 
     def assign(pdf):
         pdf = pdf.sort_values("_no")
         first = pdf.iloc[0]
-        costs = pdf["_cost"].to_numpy(np.int64)
-        closes = _closes(costs, int(first["_tokens"]), int(first["_before"]), token_limit, own_cost)
+        ordered = pdf["_cost"].to_numpy(np.int64)
+        closes = _closes(ordered, int(first["_tokens"]), int(first["_before"]), token_limit, own_cost)
         pdf["batch"] = np.cumsum(closes) + int(first["_batch"])
         return pdf[[shard, *order, "batch"]]
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in [shard, *order]) + ", batch long"
-    return placed.join(entries, [shard, "_chunk"]).groupBy(shard, "_chunk").applyInPandas(assign, schema)
+    entries = entries.withColumnsRenamed({shard: "_shard", "_chunk": "_entry"})
+    known = placed.join(entries, F.col(shard).eqNullSafe(F.col("_shard")) & (F.col("_chunk") == F.col("_entry")))
+    return known.drop("_shard", "_entry").groupBy(shard, "_chunk").applyInPandas(assign, schema)
+
+
+#: The cost of the open batch where there is none yet.
+_NONE_OPEN = -1
+
+
+def _maps(pdf: pd.DataFrame) -> list[tuple[int, list[tuple]]]:
+    """The maps of a group of chunks in order, each as rows by falling need."""
+    out = []
+    for chunk, rows in pdf.groupby("_chunk", sort=True):
+        values = rows[["kind", "need", "tokens", "closed", "last_cost"]].to_numpy(np.int64).tolist()
+        out.append((int(chunk), sorted(map(tuple, values), key=lambda r: (r[0], -r[1]))))
+    return out
 
 
 class _Walk:
@@ -199,29 +239,55 @@ def _chunk_map(costs: np.ndarray, limit: int, own_cost: bool) -> list[tuple]:
     return rows
 
 
-def _follow(
-    rows: pd.DataFrame, tokens: int, cost_before: int, batch: int, limit: int, own_cost: bool
-) -> tuple[int, int, int]:
+def _follow(rows: list[tuple], tokens: int, cost_before: int, batch: int, limit: int, own_cost: bool) -> tuple[int, int, int]:
     """The open batch after a chunk (its cost, the last item's cost, its number) from the one before."""
-    last = int(rows["last_cost"].iloc[0])
-    fresh = rows[rows["kind"] == 0].iloc[0]
-    if tokens == 0:  # the shard begins here, so item 0 opens the batch without a close
-        return int(fresh["tokens"]), last, batch + int(fresh["closed"]) - 1
-    if not own_cost and tokens + cost_before >= limit:
-        return int(fresh["tokens"]), last, batch + int(fresh["closed"])
-    steps = rows[(rows["kind"] == 1) & (rows["need"] <= tokens)]
-    if len(steps):
-        step = steps.loc[steps["need"].idxmax()]
-        return int(step["tokens"]), last, batch + int(step["closed"])
-    return tokens + int(rows.loc[rows["kind"] == 2, "tokens"].iloc[0]), last, batch
+    fresh, last = rows[0], rows[0][4]
+    if tokens == _NONE_OPEN or (not own_cost and tokens + cost_before >= limit):
+        return fresh[2], last, batch + fresh[3]
+    for kind, need, left, closed, _ in rows[1:]:
+        if kind == 2:
+            return tokens + left, last, batch
+        if need <= tokens:
+            return left, last, batch + closed
+    raise AssertionError("a map ends with its open row")
+
+
+def _compose(first: list[tuple], then: list[tuple], limit: int, own_cost: bool) -> list[tuple]:
+    """The map of two neighbours from their own.
+
+    A batch that closes in the first chunk enters the second with a known cost. One that stays open is ``grown`` larger
+    there, so the second chunk's steps are lower by that; those that the first chunk closes already are never met.
+    """
+    cost_before, last = first[0][4], then[0][4]
+
+    def go_on(tokens: int, closed: int) -> tuple[int, int]:
+        tokens, _, closed = _follow(then, tokens, cost_before, closed, limit, own_cost)
+        return tokens, closed
+
+    rows = [(0, 0, *go_on(*first[0][2:4]), last)]
+    steps = [(need, *go_on(left, closed)) for kind, need, left, closed, _ in first if kind == 1]
+    grown = first[-1][2]
+    if not own_cost:
+        steps.append((limit - cost_before - grown, *then[0][2:4]))
+    steps += [(need - grown, left, closed) for kind, need, left, closed, _ in then if kind == 1]
+    lowest = None
+    for need, left, closed in steps:
+        if lowest is not None and (need >= lowest or lowest <= 0):
+            continue
+        lowest = need
+        if rows[-1][0] == 1 and rows[-1][2:4] == (left, closed):
+            rows[-1] = (1, need, left, closed, last)
+        else:
+            rows.append((1, need, left, closed, last))
+    return [*rows, (2, 0, grown + then[-1][2], 0, last)]
 
 
 def _closes(costs: np.ndarray, tokens: int, cost_before: int, limit: int, own_cost: bool) -> np.ndarray:
     """1 at each item before which a batch closes."""
     walk = _Walk(costs, limit, own_cost)
     out = np.zeros(costs.size, np.int64)
-    if tokens == 0:
-        i = walk.next_close(0)
+    if tokens == _NONE_OPEN:
+        i = 0
     elif not own_cost and tokens + cost_before >= limit:
         i = 0
     else:

@@ -15,26 +15,58 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def brute_batches(costs, limit, own):
-    batch = total = before = 0
+    batch, total, before = -1, None, 0
     out = []
     for c in costs:
-        if total > 0 and total + (c if own else before) >= limit:
+        if total is None or total + (c if own else before) >= limit:
             batch, total = batch + 1, 0
         total, before = total + c, c
         out.append(batch)
     return out
 
 
-@pytest.mark.parametrize("own", [False, True])
-def test_token_budget_chunks_agree_with_one_scan(spark, own):
+def _batch_rows(hot, least):
+    """Rows of which most are in one shard; some costs are above the limit."""
     rng = np.random.default_rng(3)
-    # one shard holds most rows, some costs are above the limit
-    rows = [(("hot" if i % 4 else f"s{i % 8}"), i, int(rng.integers(1, 40 if i % 50 else 400))) for i in range(3000)]
+    return [(("hot" if hot(i) else f"s{i % 8}"), i, int(rng.integers(least, 40 if i % 50 else 400))) for i in range(3000)]
+
+
+def _check_batches(spark, rows, own, **how):
     df = spark.createDataFrame(rows, "shard string, id long, cost long")
-    got = paging.token_budget_batches(df, "shard", ["id"], F.col("cost"), 150, chunk_rows=37, own_cost=own).toPandas()
-    for shard, part in pd.DataFrame(rows, columns=["shard", "id", "cost"]).groupby("shard"):
-        mine = got[got["shard"] == shard].sort_values("id")["batch"].tolist()
-        assert mine == brute_batches(part.sort_values("id")["cost"], 150, own)
+    got = paging.token_budget_batches(df, "shard", ["id"], F.col("cost"), 150, own_cost=own, **how).toPandas()
+    assert len(got) == len(rows)
+    for shard, part in pd.DataFrame(rows, columns=["shard", "id", "cost"]).groupby("shard", dropna=False):
+        mine = got[got["shard"].isna() if pd.isna(shard) else got["shard"] == shard].sort_values("id")["batch"].tolist()
+        assert mine == brute_batches(part.sort_values("id")["cost"].fillna(0), 150, own)
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_token_budget_chunks_agree_with_one_scan(spark, own):
+    _check_batches(spark, _batch_rows(lambda i: i % 4, 1), own, chunk_rows=37)
+
+
+@pytest.mark.parametrize("own, fan, chunk_rows", [(False, 2, 11), (True, 3, 7), (False, 5, 2)])
+def test_token_budget_tree_of_any_shape(spark, own, fan, chunk_rows):
+    """All rows in one null shard, or with costs of zero and null; chunks shorter than a batch."""
+    rows = [(None, i, c) for _, i, c in _batch_rows(lambda i: True, 0)][:600]
+    rows = [(s, i, None if i % 31 == 0 else 0 if 200 < i < 260 else c) for s, i, c in rows] + [("one", 10_000, 7)]
+    _check_batches(spark, rows, own, chunk_rows=chunk_rows, fan=fan)
+
+
+def test_step_maps_compose():
+    """A composed map gives what its parts give one after the other, for every open cost."""
+    rng = random.Random(8)
+    for own in (False, True):
+        for _ in range(300):
+            parts = [[rng.choice([0, 1, 2, 5, 9, 30]) for _ in range(rng.randint(1, 6))] for _ in range(3)]
+            maps = [paging._chunk_map(np.array(p, np.int64), 12, own) for p in parts]
+            left = paging._compose(paging._compose(maps[0], maps[1], 12, own), maps[2], 12, own)
+            right = paging._compose(maps[0], paging._compose(maps[1], maps[2], 12, own), 12, own)
+            for tokens, before in [(paging._NONE_OPEN, 0), *[(t, b) for t in range(0, 45) for b in (0, 1, 9, 30)]]:
+                at = (tokens, before, 0)
+                for m in maps:
+                    at = paging._follow(m, *at, 12, own)
+                assert paging._follow(left, tokens, before, 0, 12, own) == paging._follow(right, tokens, before, 0, 12, own) == at
 
 
 def test_containment_agrees_with_nested_loop(spark):
