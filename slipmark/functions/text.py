@@ -148,12 +148,13 @@ def number_scorer(answer: Column, target: Column) -> Column:
     )
     first = F.regexp_extract(F.replace(tail, F.lit(","), F.lit("")), r"-?\p{Nd}+\.?\p{Nd}*", 0)
     readable = first.rlike(r"^-?[0-9]+\.?[0-9]*$") & ~first.rlike(r"^-?0+[1-9][0-9]*$")
-    value = F.when(readable, first.try_cast("double"))
     wanted = strip(target.cast("string"))
-    # a double holds every integer of up to 15 digits
+    # a double holds every integer of up to 15 digits; the lengths are tested first, so that short numbers cost no more
     wide = (F.greatest(F.length(first), F.length(wanted)) > 15) & first.rlike("^-?[0-9]+$") & wanted.rlike("^[+-]?[0-9]+$")
-    same = F.when(wide, readable & _same_integer(first, wanted)).otherwise(value == numeric_target(target))
-    return F.when(numeric_target(target).isNotNull(), F.coalesce(same, F.lit(False)))
+    digits = F.when(~wanted.rlike(r"^[+-]?0+[1-9][0-9]*$"), readable & _same_integer(first, wanted))
+    # an unreadable answer is a number that no target is, so the target's number is computed once
+    value = F.coalesce(F.when(readable, first.try_cast("double")), F.lit(float("nan")))
+    return F.when(wide, digits).otherwise(value == numeric_target(target))
 
 
 def exact_scorer(answer: Column, target: Column) -> Column:

@@ -10,8 +10,8 @@ from slipmark.sources.scratch import stored
 _LOCAL_BITS = (1 << 33) - 1
 
 
-def in_order(df: DataFrame, order: list[str], name: str = "ordered") -> DataFrame:
-    """Range-partition and sort by ``order``, and store with the place of each row: ``_part`` and ``_pos``.
+def in_order(df: DataFrame, order: list[str], name: str = "ordered", keep: list[str] | None = None) -> DataFrame:
+    """Range-partition and sort by ``order``, and store (only ``keep``, if given) with the place of each row: ``_part``, ``_pos``.
 
     The table is stored, so that later passes see the same ranges also when a task is run again. The order must be
     total: rows with equal keys have no defined place. No number of ranges is given, so the adaptive planner merges
@@ -21,7 +21,7 @@ def in_order(df: DataFrame, order: list[str], name: str = "ordered") -> DataFram
     placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn(
         "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))
     )
-    return stored(placed, name)
+    return stored(placed if keep is None else placed.select(*keep, "_part", "_pos"), name)
 
 
 def _running_before(per_part: DataFrame, value: str, out: str) -> DataFrame:
@@ -30,12 +30,12 @@ def _running_before(per_part: DataFrame, value: str, out: str) -> DataFrame:
     return per_part.select("_part", F.coalesce(F.sum(value).over(before), F.lit(0)).alias(out))
 
 
-def number_rows(df: DataFrame, order: list[str], out: str = "row_no") -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], out: str = "row_no", keep: list[str] | None = None) -> DataFrame:
     """Dense numbers 0, 1, 2, … by ``order`` over the whole table.
 
-    One range exchange and one stored table; the offsets are counts per partition.
+    One range exchange and one stored table (of the columns ``keep``, if given); the offsets are counts per partition.
     """
-    placed = in_order(df, order, "numbered")
+    placed = in_order(df, order, "numbered", keep)
     offsets = _running_before(placed.groupBy("_part").agg(F.count("*").alias("_n")), "_n", "_offset")
     return (
         placed.join(F.broadcast(offsets), "_part")

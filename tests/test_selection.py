@@ -69,3 +69,61 @@ def test_the_first_column_bounds_the_scan(spark, tmp_path):
     assert page.count() == 50
     shown = page._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(id,100)" in shown
+
+
+def test_runs_across_ranges_and_batches(spark):
+    """Runs from partial rows: any number of ranges, small Arrow batches, null files and models, verdicts that are null."""
+    from slipmark.operators.aggregates import run_summary
+
+    draw = random.Random(2)
+    rows, i = [], 0
+    while i < 1200:
+        name, model, n = draw.choice([None, "a", "b"]), draw.choice([None, "m", "n"]), draw.choice([1, 2, 3, 200])
+        for _ in range(n):
+            rows.append((name, i, model, draw.choice(["1", "2", "x"]), draw.choice(["1", "no number"]), f"2024-01-{1 + i % 28:02d}", draw.choice([None, "z", "y"])))
+            i += 1
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    expected, last = [], object()
+    for name, _, model, answer, target, start, end in rows:
+        if (name, model) != last:
+            expected.append([name, model, 0, 0, start, end])
+            last = (name, model)
+        run = expected[-1]
+        if target == "1":
+            run[2], run[3] = run[2] + 1, run[3] + (answer == "1")
+        run[4] = min(run[4], start)
+        run[5] = max((x for x in (run[5], end) if x is not None), default=None)
+    want = sorted(((f, m, n, hits / n if n else None, s, e) for f, m, n, hits, s, e in expected), key=repr)
+    schema = "log_file string, id long, model string, answer string, target string, start_ts string, end_ts string"
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for ranges, batch in (("1", "7"), ("5", "64"), ("40", "3"), ("7", "10000")):
+            for k, v in zip(keys, (ranges, batch, "false"), strict=True):
+                spark.conf.set(k, v)
+            df = spark.createDataFrame(rows, schema).repartition(6)
+            got = run_summary(df, "log_file", ["id"]).collect()
+            assert sorted(((r.log_file, r.model, r.trials, r.score, r.start_time, r.end_time) for r in got), key=repr) == want
+            assert len({tuple(r.run_no) for r in got}) == len(got)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_run_summary_stores_runs_and_not_rows(spark, monkeypatch):
+    from slipmark.operators import aggregates, ordering
+
+    counts = []
+    for module in (aggregates, ordering):
+        def counted(df, name="table", keep=module.stored):
+            out = keep(df, name)
+            counts.append((out.count(), out.columns))
+            return out
+
+        monkeypatch.setattr(module, "stored", counted)
+    rows = [("f", i, "m" if i < 700 else "n", "1", "1", "s", "e") for i in range(1000)]
+    df = spark.createDataFrame(rows, "log_file string, id long, model string, answer string, target string, start_ts string, end_ts string")
+    assert sorted(r.trials for r in aggregates.run_summary(df, "log_file", ["id"]).collect()) == [300, 700]
+    assert len(counts) == 1 and counts[0][0] < 40
+    aggregates.chunk_summary(df, ["id"]).collect()
+    assert counts[1][1] == ["ok", "start_ts", "end_ts", "_part", "_pos"]
