@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,12 +16,15 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: Words that make what follows them on a line a candidate.
+#: Words that make their line and its two neighbours a sensitive context.
 _CONTEXT = re.compile(r"password|passwd|secret|token|api[_-]?key|credential|private|bearer|authorization|access[_-]?key", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_REST = re.compile(r"[A-Za-z0-9+/_=-]*")
-#: Code points between a context word and a candidate's end, at most; text on both sides that primes the dictionary.
-REACH, AROUND = 160, 1024
+#: The body of a private key, up to its end mark or the end of the text.
+_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----\s*(.*?)\s*(?:-----END|\Z)", re.DOTALL)
+#: Text on both sides of a candidate that primes the dictionary.
+AROUND = 1024
+#: Outside a sensitive context: least share, and least length of a candidate, which must mix digits and letters of both cases.
+ALONE, ALONE_LENGTH = 1.0, 24
 #: From so many bytes on the compressor also codes letters by frequency, which takes a quarter off random base64: the least share
 #: is then lower by this factor.
 CODED_BYTES, CODED_FACTOR = 64, 0.9
@@ -61,37 +63,88 @@ class Novelty:
         empty = len(packer.compress(b"\n"))
         return (len(packer.compress(b"\n" + candidate)) - empty) / len(candidate)
 
+    def _reaches(self, text: str, start: int, end: int, least: float) -> bool:
+        around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
+        return self.share(text[start:end].encode(), around.encode()) >= (least * CODED_FACTOR if end - start >= CODED_BYTES else least)
+
     def spans(self, text: str, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
-        """Candidates in a sensitive context that no base span overlaps and whose share reaches ``least``."""
-        found, seen = [], -1
-        starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
-        for word in _CONTEXT.finditer(text):
-            line = text.find("\n", word.end(), word.end() + REACH)
-            stop = line if line >= 0 else min(len(text), word.end() + REACH)
-            for m in _CANDIDATE.finditer(text, max(word.end(), seen), stop):
-                start, end = m.span()
-                if end == stop:
-                    end = _REST.match(text, end).end()  # a candidate is never cut at the end of the reach
-                seen = max(seen, end)
-                value = text[start:end]
-                if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        """Bodies of private keys, and all candidates of the text, whose share reaches ``least`` in a context, else ``ALONE``.
+
+        A candidate inside base spans is not reported again; one that they only touch is reported as the union with them.
+        """
+        found, blocks = [], []
+        if "PRIVATE KEY-----" in text:
+            blocks = [m.span(1) for m in _KEY_BLOCK.finditer(text)]
+            found = [(s, 3, e) for s, e in blocks if e > s and self._reaches(text, s, e, least)]
+        covered: list[list[int]] = []  # what base spans cover
+        for s, _, e in base:
+            if covered and s <= covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], e)
+            else:
+                covered.append([s, e])
+        starts, ends = [s for s, _ in covered], [e for _, e in covered]
+        near: _Context | None = None
+        block = 0
+        for m in _CANDIDATE.finditer(text):
+            start, end = m.span()
+            value = m.group()
+            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+                continue
+            while block < len(blocks) and blocks[block][1] <= start:
+                block += 1
+            if block < len(blocks) and blocks[block][0] < end:
+                continue
+            left, right = start, end
+            first, last = bisect_right(ends, start), bisect_left(starts, end)
+            if first < last:
+                if starts[first] <= start and ends[first] >= end:
                     continue
-                before = bisect_left(starts, end)
-                if before and reach[before - 1] > start:
+                left, right = min(start, starts[first]), max(end, ends[last - 1])
+                needed = least
+            else:
+                near = near or _Context(text)
+                if near.holds(start, end):
+                    needed = least
+                elif len(value) >= ALONE_LENGTH and value.lower() != value != value.upper():
+                    needed = ALONE
+                else:
                     continue
-                around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
-                needed = least * CODED_FACTOR if len(value) >= CODED_BYTES else least
-                if self.share(value.encode(), around.encode()) >= needed:
-                    found.append((start, 3, end))
+            if self._reaches(text, start, end, needed):
+                found.append((left, 3, right))
         return found
 
 
+class _Context:
+    """The lines of a text with a sensitive word, and their neighbours."""
+
+    def __init__(self, text: str) -> None:
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for m in _CONTEXT.finditer(text):
+            i = bisect_left(breaks, m.start())
+            start = breaks[i - 2] + 1 if i >= 2 else 0
+            end = breaks[i + 1] if i + 1 < len(breaks) else len(text)
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def holds(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """The id and the spans of each input row: ``doc_id, spans`` with spans an array of (kind, start, end) in code
-    points, by start and then kind. Kinds ``assign, access, hex`` are fixed patterns; ``novel`` ones are strings of
-    16 or more characters with letters and digits, after a sensitive word on the same line, whose marginal compressed
-    size is at least ``least`` of their length (0.9 of that from 64 characters on). Row-local; a null or empty text has no spans; repeated rows and null ids are
-    kept. A copy of a secret that stands elsewhere in the surroundings is no longer novel; the fixed patterns still find it.
+    points, by start and then kind. Kinds ``assign, access, hex`` are fixed patterns. ``novel`` ones are bodies of private
+    keys, and strings of 16 or more characters with letters and digits, anywhere in the text, whose marginal compressed
+    size is at least ``least`` of their length (0.9 of that from 64 characters on) on a line with a sensitive word or next to
+    one; elsewhere it must be the whole length, of at least 24 characters with letters of both cases. A string that fixed spans
+    touch but do not cover is reported as the union with them. Row-local; a null or empty text has no spans; repeated rows and
+    null ids are kept; a very long text is scanned whole, in one pass. A copy of a secret that stands elsewhere in the
+    surroundings is no longer novel; the fixed patterns still find it.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
