@@ -13,14 +13,37 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Whole licence texts, as words.
+MIT_TEXT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+    "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
+    "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+    "furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be "
+    "included in all copies or substantial portions of the software the software is provided as is without warranty of any kind "
+    "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+    "noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+    "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or "
+    "other dealings in the software"
+)
+BSD_TEXT = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+    "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the "
+    "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+    "the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+ISC_TEXT = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+    "that the above copyright notice and this permission notice appear in all copies"
+)
 #: Templates: label, text, and a key phrase of it that a file must hold at the place that the alignment gives.
 TEMPLATES = (
     ("mit", "released under the mit license", "the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free of charge"),
+    ("mit", MIT_TEXT, "hereby granted free of charge"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification", "source and binary forms with or without"),
+    ("bsd", BSD_TEXT, "source and binary forms with or without"),
+    ("isc", ISC_TEXT, "for any purpose with or without fee is hereby granted"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0"),
@@ -44,18 +67,18 @@ def _at_phrase(words: Column, phrase: str):
     return lambda at: _stands(words, at, phrase)
 
 
-def _aligned(words: Column, here: Column, text: str, key: str, anchored: Column) -> Column:
-    """Largest share of a template's words at their places, over the relative positions that the anchors agree on."""
+def _aligned(words: Column, here: Column, text: str, key: str, anchors: list[str]) -> Column:
+    """Largest share of a template's words at their places, over the relative positions that all its anchors agree on."""
     of = text.split()
     key_at = text[: text.index(key)].count(" ")
 
     def agrees(offset):
-        votes = F.size(F.filter(here, lambda e: e["o"] == offset))
-        return (votes >= F.least(F.lit(2), anchored)) & _stands(words, offset + key_at, key)
+        votes = F.size(F.array_distinct(F.transform(F.filter(here, lambda e: e["o"] == offset), lambda e: e["w"])))
+        return (votes == len(anchors)) & _stands(words, offset + key_at, key)
 
     def share(offset):
-        held = [F.coalesce(F.get(words, offset + j) == w, F.lit(False)).cast("double") for j, w in enumerate(of)]
-        return sum(held[1:], held[0]) / len(of)
+        held = F.filter(F.transform(_list(of), lambda w, j: F.coalesce(F.get(words, offset + j) == w, F.lit(False))), lambda same: same)
+        return F.size(held).cast("double") / len(of)
 
     places = F.filter(F.array_distinct(F.transform(here, lambda e: e["o"])), agrees)
     return F.coalesce(F.array_max(F.transform(places, share)), F.lit(0.0))
@@ -83,12 +106,13 @@ def scan_licenses(
 ) -> DataFrame:
     """One row for each input row: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
-    Of a file's licence words the ``anchors`` with the highest inverse document frequency are looked up in the
-    templates' postings; each gives template and relative position (place in the file minus place in the template).
-    Where at least two anchors agree on both, or all that the template has, and the key phrase stands at its place, the template's
-    label is added. ``score`` is 1 with a base phrase, else the largest share of a template's words found at their
-    places. Row-local but for the counts of the template words. A null text is empty: no words, null places, empty labels, score 0;
-    repeated rows and null ids are kept.
+    Of each template's key phrase the ``anchors`` words with the highest inverse document frequency are looked up in a file,
+    if it holds them all; the positional postings give template and relative position (place in the file minus place in
+    the template). Where all of a template's anchors agree on it and the key phrase stands at its place, the template's
+    label is added: a file with several licences has all their labels. ``score`` is 1 with a base phrase, else the
+    largest share of a template's words found at their places. Row-local but for the counts of the template words. A null
+    text is empty: no words, null places, empty labels, score 0; repeated rows and null ids are kept; words of equal
+    frequency are taken in their own order; a very long text is one row like others.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     weights = inverse_frequencies(rows, "text", templates)
@@ -98,9 +122,15 @@ def scan_licenses(
     may_hold = F.col("text").rlike("(?i)" + "|".join(needed))
     lowered = F.when(may_hold, F.translate(F.col("text"), _UPPER, _UPPER.lower()))
     words = F.array_remove(F.split(F.coalesce(lowered, F.lit("")), _NOT_WORD), "")
-    vocabulary = sorted(weights)
-    weight_map = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(weights[w]))])
-    postings = {w: [(t, i) for t, (_, text, _) in enumerate(templates) for i, x in enumerate(text.split()) if x == w] for w in vocabulary}
+    by_rarity = lambda phrase: sorted(set(phrase.split()), key=lambda w: (-weights.get(w, 0.0), w))
+    rare = [by_rarity(key)[:anchors] for _, _, key in templates]
+    vocabulary = sorted({w for of in rare for w in of})
+    # an anchor's postings: its places in the templates that it is an anchor of, counted from the key phrase's own
+    postings = {
+        w: [(t, i) for t, (_, text, key) in enumerate(templates) if w in rare[t]
+            for i, x in enumerate(text.split()) if x == w and 0 <= i - text[: text.index(key)].count(" ") < len(key.split())]
+        for w in vocabulary
+    }
     posting_map = F.create_map(*[
         x for w in vocabulary
         for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in postings[w]]))
@@ -110,25 +140,28 @@ def scan_licenses(
         places = indexes(F.size(x["w"]))
         phrase_places = [F.filter(places, _at_phrase(x["w"], phrase)) for phrase in PHRASES]
         hits = F.filter(F.transform(x["w"], lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e: e["w"].isin(vocabulary))
-        return let({"w": x["w"], "base": F.array(*phrase_places), "hits": hits}, align)
+        return let({"w": x["w"], "base": F.array(*phrase_places), "hits": hits}, choose)
 
-    def align(x):
-        own = F.array_distinct(F.transform(x["hits"], lambda e: F.struct((-F.element_at(weight_map, e["w"])).alias("o"), e["w"].alias("w"))))
-        rare = F.transform(F.slice(F.sort_array(own), 1, anchors), lambda e: e["w"])
-        return let({"w": x["w"], "base": x["base"], "hits": x["hits"], "rare": rare}, offsets)
+    def choose(x):
+        own = F.array_distinct(F.transform(x["hits"], lambda e: e["w"]))
+        return let({"w": x["w"], "base": x["base"], "hits": x["hits"], "own": own}, offsets)
 
     def offsets(x):
-        anchored = F.filter(x["hits"], lambda e: F.array_contains(x["rare"], e["w"]))
-        at = F.flatten(F.transform(anchored, lambda e: F.transform(
-            F.element_at(posting_map, e["w"]), lambda p: F.struct(p["t"].alias("t"), (e["i"] - p["i"]).alias("o"), e["w"].alias("w")))))
-        return let({"w": x["w"], "base": x["base"], "rare": x["rare"], "at": F.sort_array(F.array_distinct(at))}, verify)
+        whole = F.array(*[F.size(F.array_intersect(x["own"], _list(of))) == len(of) for of in rare])
+        return let({"w": x["w"], "base": x["base"], "hits": x["hits"], "whole": whole}, intersect)
+
+    def intersect(x):
+        at = F.flatten(F.transform(x["hits"], lambda e: F.transform(
+            F.filter(F.element_at(posting_map, e["w"]), lambda p: F.get(x["whole"], p["t"])),
+            lambda p: F.struct(p["t"].alias("t"), (e["i"] - p["i"]).alias("o"), e["w"].alias("w")))))
+        return let({"w": x["w"], "base": x["base"], "whole": x["whole"], "at": at}, verify)
 
     def verify(x):
         labels = []
         for t, (label, text, key) in enumerate(templates):
             here = F.filter(x["at"], _of_template(t))
-            anchored = F.size(F.array_intersect(x["rare"], _list(text.split())))
-            labels.append(F.struct(F.lit(label).alias("label"), _aligned(x["w"], here, text, key, anchored).alias("score")))
+            score = F.when(F.get(x["whole"], F.lit(t)), _aligned(x["w"], here, text, key, rare[t])).otherwise(F.lit(0.0))
+            labels.append(F.struct(F.lit(label).alias("label"), score.alias("score")))
         return F.struct(x["base"].alias("base"), F.array(*labels).alias("found"))
 
     found = rows.select("doc_id", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words"),

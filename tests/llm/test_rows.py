@@ -3,9 +3,9 @@
 import random
 
 import pytest
-from llm.brute import licenses, quality
+from llm.brute import LICENSE_WORD, licenses, lower, quality
 
-from slipmark.llm.licenses import scan_licenses
+from slipmark.llm.licenses import TEMPLATES, scan_licenses
 from slipmark.llm.quality_rules import RULES, ablations, ledger
 from slipmark.llm.quality_rules import quality as rules
 
@@ -74,6 +74,50 @@ def test_licenses_equal_plain(spark):
     assert got[1].labels == "" and got[1].score == 0.0
 
 
+def plain_labels(text, templates):
+    """Every place of every key phrase, with the share of the template's words around it."""
+    words = LICENSE_WORD.findall(lower(text))
+    labels, best = set(licenses(text)[4].split(",")) - {""}, 1.0 if licenses(text)[1] else 0.0
+    for label, whole, key in templates:
+        of, key = whole.split(), key.split()
+        first = next(i for i in range(len(of)) if of[i : i + len(key)] == key)
+        for i in range(len(words)):
+            if words[i : i + len(key)] == key:
+                labels.add(label)
+                held = sum(0 <= i - first + j < len(words) and words[i - first + j] == w for j, w in enumerate(of))
+                best = max(best, held / len(of))
+    return ",".join(sorted(labels)), best
+
+
+def test_files_of_several_licenses_equal_a_plain_matcher(spark):
+    draw = random.Random(3)
+    wholes = [text for _, text, _ in TEMPLATES]
+    filler = "the of and software is without any copy free use public version 2 0 under license terms".split()
+    texts = ["", None, wholes[1], f"{wholes[1]} {wholes[3]}", f"{wholes[5]} and {wholes[3]}", f"{wholes[7]} {wholes[3]} {wholes[1]}"]
+    for _ in range(120):
+        parts = []
+        for whole in draw.sample(wholes, draw.randrange(0, 5)):
+            words = whole.split()
+            for _ in range(draw.choice([0, 0, 1, 3])):
+                words[draw.randrange(len(words))] = draw.choice(filler)
+            cut = draw.choice([0, 0, 3])
+            parts += words[cut:] + draw.choices(filler, k=draw.randrange(0, 30))
+        texts.append(draw.choice([" ", ", ", "-"]).join(w.upper() if draw.random() < 0.1 else w for w in parts))
+    texts += texts[3:6] + [texts[4] + " word" * 20_000]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, s int, score int")
+    several = 0
+    for r in scan_licenses(df).collect():
+        labels, score = plain_labels(texts[r.doc_id], TEMPLATES)
+        assert r.labels == labels and abs(r.score - score) < 1e-12, texts[r.doc_id]
+        several += labels.count(",") > 0
+    assert several > 40
+
+
+def test_licenses_keep_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "under the mit license"), (1, "cc by nc 4.0"), (1, "cc by nc 4.0")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.labels) for r in scan_licenses(df).collect()) == [(0, "mit"), (1, "cc-by-nc"), (1, "cc-by-nc")]
+
+
 def test_licenses_on_given_documents(spark):
     docs = spark.read.parquet(DOCUMENTS)
     texts = {r.doc_id: r.text for r in docs.collect()}
