@@ -206,7 +206,7 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
     min_docs: int = 8, capacity: int = 1 << 18,
 ) -> DataFrame:
-    """One row for each input row: ``doc_id``, ``n_shingles``, ``component_id``.
+    """One row for each input row: ``doc_id``, ``n_shingles``, ``component_id``, ``set_key`` (equal for equal sets; null for empty).
 
     Texts link when their sets of distinct word shingles (64-bit fingerprints) reach a Jaccard similarity of
     ``percent`` / 100; ``component_id`` is the smallest id reachable. A text without words, or null, has no shingles and
@@ -288,13 +288,39 @@ def jaccard_components(
     return (
         prep.select("doc_id", "n", "k").join(classes, "k", "left").join(labels, F.col("id") == labels.node, "left")
         .select("doc_id", F.col("n").alias("n_shingles"),
-                F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "id", "doc_id")).alias("component_id"))
+                F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "id", "doc_id")).alias("component_id"), F.col("k").alias("set_key"))
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` whose id is the smallest of its component, one row of each id; rows with a null id stay."""
+    """The rows and columns of ``docs`` whose id is the smallest of its component; rows with a null id stay.
+
+    Of rows with one id and equal sets one stays; rows with one id and different sets are different documents, and all stay
+    that are not near copies of a smaller id's. No column but the id and the text decides which of equal rows stays.
+    """
     groups = jaccard_components(docs, id_col, text_col)
-    kept = groups.where("component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = groups.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    ident, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    # an id of one row needs no comparison; of the others the texts' sets are told apart by their words
+    stay = plain.join(kept, F.col(ident) == F.col("doc_id"), "left_semi")
+    several = kept.where("rows > 1").select("doc_id")
+    single = stay.join(several, F.col(ident) == F.col("doc_id"), "left_anti")
+    repeated = stay.join(several, F.col(ident) == F.col("doc_id"), "left_semi")
+    one = single.unionByName(_first_of_each_set(repeated, ident, text))
+    return one.unionByName(plain.where(F.col(ident).isNull())).toDF(*docs.columns)
+
+
+def _first_of_each_set(rows: DataFrame, ident: str, text: str, words: int = 5) -> DataFrame:
+    """One row of each id and shingle set; texts without words are one set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            keys = [set_key(t) if len(t) else None for t in shingle_sets(batch.column(text), words)]
+            yield batch.append_column("_set", pa.array(keys, pa.int64()))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", _set long"
+    return rows.mapInArrow(run, schema).dropDuplicates([ident, "_set"]).drop("_set")
+
+

@@ -32,11 +32,12 @@ def test_odd_rows(spark):
     draw = random.Random(9)
     text = " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(90))
     rows = [(1, text, "x", None), (1, text, "x", None), (2, text, "y", None), (3, None, None, 1), (None, text + " more words", "x", 2), (4, "", "x", 3)]
+    rows.append((1, " ".join("".join(draw.choices("jklmnop", k=5)) for _ in range(90)), "z", 5))  # the same id, another text
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, bits long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, FOLDER)
         assert docs.columns == ["doc_id", "text", "source", "bits"]
-    assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 1]
+    assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 1, 1]
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, FOLDER)
