@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slipmark.functions import fixed, messages, text
 from slipmark.operators import aggregates, filters
-from slipmark.plans import evaluate, generate, scoring, tasksets
+from slipmark.plans import evaluate, generate, ledger, scoring, tasksets
 from slipmark.queries import views as V
 from slipmark.queries.aggregates import SUMMARY_SQL
 from slipmark.queries.joins import _right_source
@@ -297,6 +297,30 @@ def generate_stage_function(spark, sf_dir):
     return made.select("row_id", "style", "final_prompt", "response")
 
 
+_PROMPTS = """(select row_id, style, concat('Q: ', question, chr(10), chr(10), 'A: Let', chr(39), 's think step by step',
+    case style when 'sbs' then '.' else ', being careful to notice and fix any mistakes.' end) as p from response_log)"""
+
+
+@query("generate_stage_ledger", f"""
+with stages as (select row_id, style, p, concat(p, ' ', cast(length(p) as varchar), ' Therefore, the answer (arabic numerals) is') as final_prompt
+                from {_PROMPTS})
+select row_id, style, final_prompt, cast(length(final_prompt) as varchar) as response,
+       (select count(distinct p) + count(distinct final_prompt) from stages) as entries
+from stages""", "response_log")
+def generate_stage_ledger(spark, sf_dir):
+    """The same stages with a ledger, twice: the second run finds all answers and calls nothing."""
+    log = V.response_log(spark, sf_dir).select("row_id", "question", "style")
+    answered = ledger.Ledger(new_path(spark, "ledger"), 64)
+
+    def refused(frame):
+        raise RuntimeError("called again")
+
+    generate.generate(log, lambda frame: frame["prompt"].str.len().astype(str), ledger=answered)
+    made = generate.generate(log, refused, ledger=answered)
+    entries = answered.read(spark).agg(F.count("*").alias("entries"))  # one row
+    return made.select("row_id", "style", "final_prompt", "response").crossJoin(F.broadcast(entries))
+
+
 @query("rerun_failed", """
 select r.row_id, r.question,
        case when answer is not null and answer <> '' then answer when e % 2 = 0 then concat(' ', target) end as response,
