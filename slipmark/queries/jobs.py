@@ -15,6 +15,7 @@ from slipmark.queries.numbers import candidates_sql, outputs_sql
 from slipmark.queries.registry import query
 from slipmark.sources import logs, problems
 from slipmark.sources.scratch import new_path, stored
+from slipmark.streaming import chunks
 from slipmark.streaming.scoring import incremental_scoring
 
 GPT, STYLE = "gpt-4-0314", "sbs"
@@ -417,3 +418,52 @@ def incremental_scoring_csv(spark, sf_dir):
         F.sum("trials").alias("trials"),
         F.sum(F.round(F.col("score") * F.col("trials")).cast("long")).alias("right_ones"),
         F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
+
+
+def _followed(spark, sf_dir, name, follow, parts=4):
+    """The log lands in steps, by ranges of the order, and is followed after each one; gives the folder of what it made."""
+    log = V.response_log(spark, sf_dir)
+    source, out, state = (new_path(spark, f"{name}-{n}") for n in ("log", "made", "state"))
+    place = F.substring("row_id", 1, 15).cast("long")
+    cuts = log.select(F.percentile_approx(place, [i / parts for i in range(1, parts)]).alias("c")).first().c
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = log if low is None else log.where(place > low)
+        (part if high is None else part.where(place <= high)).write.mode("append").parquet(source)
+        follow(spark, source, log.schema, out, state).awaitTermination()
+    return out
+
+
+@query("streamed_chunks", f"""
+select model, cast(floor(row_no / 100) as bigint) as chunk, {SUMMARY_SQL}
+from (select *, row_number() over (partition by model order by row_id) - 1 as row_no from scored)
+where answer is not null and answer <> '' group by 1, 2""", "scored")
+def streamed_chunks(spark, sf_dir):
+    """Chunks of 100 questions of each model, which go on from one step of the log to the next."""
+    def follow(*a):
+        return chunks.follow_chunks(*a, run=["model"], order=["row_id"])
+
+    made = _followed(spark, sf_dir, "chunks", follow)
+    return chunks.chunks_so_far(spark, made, ["model"], dict(V.response_log(spark, sf_dir).dtypes)["start_ts"])
+
+
+@query("streamed_answers", """
+with twice as (select model, question, answer, ok, row_id || '-0' as place from scored
+               union all select model, question, case when row_id[15] in ('0', '2', '4') then null else answer end,
+                                case when row_id[15] in ('0', '2', '4') then null else ok end, row_id || '-1' from scored where row_id[15] <> '6'),
+last as (select model, question, arg_max(coalesce(answer, ''), place) as answer,
+                arg_max(case when answer is null or answer = '' then 'waiting' when ok then 'right' else 'wrong' end, place) as verdict
+         from twice group by model, question)
+select model, verdict, count(*) as questions, sum(length(answer))::bigint as answer_chars from last group by model, verdict""", "scored")
+def streamed_answers(spark, sf_dir):
+    """The last answer of each question after a second run over most of them, in which some are left without one."""
+    log = V.response_log(spark, sf_dir)
+    source, out, state = (new_path(spark, f"answers-{n}") for n in ("log", "made", "state"))
+    digit = F.substring("row_id", 15, 1)
+    again = log.where(digit != "6").withColumn("answer", F.when(~digit.isin("0", "2", "4"), F.col("answer")))
+    for i, run in enumerate((log, again)):
+        run.withColumn("place", F.concat("row_id", F.lit(f"-{i}"))).write.mode("append").parquet(source)
+        schema = spark.read.parquet(source).schema
+        chunks.follow_answers(spark, source, schema, out, state, run=["model"], order=["place"]).awaitTermination()
+    verdict = F.when(text.is_blank(F.col("answer")), "waiting").when(F.col("ok"), "right").otherwise("wrong")
+    return chunks.answers_so_far(spark, out, ["model"]).groupBy("model", verdict.alias("verdict")).agg(
+        F.count("*").alias("questions"), F.sum(F.length(F.coalesce("answer", F.lit("")))).alias("answer_chars"))
