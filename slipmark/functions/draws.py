@@ -27,20 +27,19 @@ def draw(key: Column, purpose: str, i: Column | int = 0, seed: str = SEED) -> Co
 def sample_positions(key: Column, population: Column, size: int, purpose: str, seed: str = SEED) -> Column:
     """``size`` distinct positions of 0 .. population-1 in random order; population must not be below size.
 
-    Draw i is a rank among the positions not yet taken; walking the taken ones in order turns it into a position.
+    Draw i is a rank among the positions not yet taken. Going back over the earlier draws, a rank that is not below theirs
+    is one higher in what was left before; at the first draw the rank is the position.
     """
-
-    def place(taken, item):
-        rank = F.aggregate(F.sort_array(taken), item, lambda r, t: F.when(r >= t, r + 1).otherwise(r))
-        return F.concat(taken, F.array(rank))
-
     if size == 0:
         return F.array().cast("array<long>")
     ranks = lambda z: F.transform(
         F.sequence(F.lit(0), F.lit(size - 1)),
         lambda i: draw(z["key"], purpose, i, seed) % F.greatest(z["n"] - i, F.lit(1).cast("long")),
     )
+    back = lambda y, rank, i: F.aggregate(
+        F.reverse(F.slice(y["ranks"], F.lit(1), i)), rank, lambda r, earlier: F.when(r >= earlier, r + 1).otherwise(r)
+    )
     return let(
         {"key": key, "n": population.cast("long")},
-        lambda z: F.aggregate(ranks(z), F.array().cast("array<long>"), place),
+        lambda z: let({"ranks": ranks(z)}, lambda y: F.transform(y["ranks"], lambda rank, i: back(y, rank, i))),
     )

@@ -14,46 +14,61 @@ from slipmark.functions.text import reasoning_boundary
 BLOCK = 64
 # 64 letters with what stands before each; the last piece holds what follows the last letter.
 BLOCK_PIECE = rf"(?s)(?:\P{{L}}*+\p{{L}}){{1,{BLOCK}}}|\P{{L}}++"
-LETTER_PIECE = r"(?s)\P{L}*+\p{L}|\P{L}++"
+LETTER_PIECE = r"(?s)\P{L}*+\p{L}"
 
 
 def letter_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\p{L}")).cast("long")
 
 
-def replace_letters(key: Column, text: Column, positions: Column, purpose: str, seed: str = SEED) -> Column:
-    """Replace letter k by a drawn one where k - 1 is in ``positions``; so letter 0 never changes.
+def letter_places(text: Column, positions: Column) -> Column:
+    """Rank and select: for each p of ``positions`` the letter p + 1 (letter 0 is never chosen) and its place in the text, as
+    array<struct<letter, at>>; null where the text has no such letter.
 
-    Only the blocks of 64 letters that hold such a letter are taken apart.
+    The text is cut once into blocks of 64 letters, whose lengths give where each begins; only a block that holds a
+    chosen letter is cut into letters, once, whatever the number of letters chosen in it.
     """
 
-    def block(z, piece, b):
-        inside = F.filter(z["positions"], lambda p: F.shiftright(p + 1, 6) == b)
-        return let(
-            {"key": z["key"], "piece": piece, "b": b, "inside": inside},
-            lambda y: F.when(F.size(y["inside"]) > 0, taken_apart(y)).otherwise(y["piece"]),
+    def places(z):
+        begin = lambda b: F.aggregate(F.slice(z["blocks"], F.lit(1), b), F.lit(1), lambda n, piece: n + F.length(piece))
+        table = lambda b: F.struct(
+            b.alias("b"), begin(b).alias("begin"),
+            F.transform(F.regexp_extract_all(F.get(z["blocks"], b), F.lit(LETTER_PIECE), 0), lambda x: F.length(x)).alias("sizes"),
         )
+        wanted = F.array_distinct(F.transform(z["letters"], lambda k: F.shiftright(k, 6).cast("int")))
+        inside = F.filter(wanted, lambda b: b < F.size(z["blocks"]))
+        return let({"letters": z["letters"], "tables": F.transform(inside, table)}, select)
 
-    def taken_apart(y):
-        # each hit is put in place by itself; the letter pieces give its offset in the block
-        letters = F.regexp_extract_all(y["piece"], F.lit(LETTER_PIECE), 0)
-        return let(
-            {"key": y["key"], "piece": y["piece"], "b": y["b"], "inside": y["inside"], "letters": letters},
-            lambda x: F.aggregate(x["inside"], x["piece"], lambda text, p: put(x, text, p)),
-        )
+    def select(y):
+        def one(k):
+            here = F.get(F.filter(y["tables"], lambda t: t["b"] == F.shiftright(k, 6)), F.lit(0))
+            i = F.pmod(k, F.lit(BLOCK)).cast("int")
+            at = F.aggregate(F.slice(here["sizes"], F.lit(1), i + 1), here["begin"] - 1, lambda n, size: n + size)
+            return F.when(F.size(here["sizes"]) > i, F.struct(k.alias("letter"), at.alias("at")))
 
-    def put(x, text, p):
-        i = (p + 1 - x["b"] * BLOCK).cast("int")
-        drawn = F.substring(F.lit(LETTERS), (draw(x["key"], purpose, p + 1, seed) % 26 + 1).cast("int"), F.lit(1))
-        offset = F.length(F.array_join(F.slice(x["letters"], F.lit(1), i + 1), ""))
-        is_letter = F.get(x["letters"], i).rlike(r"\p{L}\z")  # past the last letter there is nothing to replace
-        return F.when(is_letter, F.overlay(text, drawn, offset, F.lit(1))).otherwise(text)
+        return F.transform(y["letters"], one)
 
-    def blocks(z):
-        pieces = F.regexp_extract_all(z["text"], F.lit(BLOCK_PIECE), 0)
-        return F.array_join(F.transform(pieces, lambda p, b: block(z, p, b)), "")
+    fields = {"letters": F.transform(positions, lambda p: p + 1), "blocks": F.regexp_extract_all(text, F.lit(BLOCK_PIECE), 0)}
+    return let(fields, places)
 
-    return let({"key": key, "text": text, "positions": positions}, blocks)
+
+def put_letters(key: Column, text: Column, places: Column, purpose: Column | str, seed: str = SEED) -> Column:
+    """The text with a drawn letter at each of ``places``."""
+
+    def put(z, done, p):
+        drawn = F.substring(F.lit(LETTERS), (draw(z["key"], z["purpose"], p["letter"], seed) % 26 + 1).cast("int"), F.lit(1))
+        return F.when(p.isNotNull(), F.overlay(done, drawn, p["at"], F.lit(1))).otherwise(done)
+
+    fields = {"key": key, "text": text, "places": places, "purpose": purpose if isinstance(purpose, Column) else F.lit(purpose)}
+    return let(fields, lambda z: F.aggregate(z["places"], z["text"], lambda done, p: put(z, done, p)))
+
+
+def replace_letters(key: Column, text: Column, positions: Column, purpose: str, seed: str = SEED) -> Column:
+    """Replace letter k by a drawn one where k - 1 is in ``positions``; so letter 0 never changes."""
+    return let(
+        {"key": key, "text": text, "positions": positions},
+        lambda z: put_letters(z["key"], z["text"], letter_places(z["text"], z["positions"]), purpose, seed),
+    )
 
 
 def letter_noise(key: Column, text: Column, perturbation: str = "typo1", seed: str = SEED) -> Column:
@@ -65,43 +80,25 @@ def letter_noise(key: Column, text: Column, perturbation: str = "typo1", seed: s
     """
     parts = letter_parts(perturbation)
     most = max(p.count for p in parts)
+    each = F.array(*[
+        F.struct(F.lit(i).alias("part_no"), F.lit(p.name).alias("perturbation"), F.lit(p.count).alias("count")) for i, p in enumerate(parts)
+    ])
 
     def noisy(z):
-        made = [
-            replace_letters(
-                z["key"], z["rest"], F.slice(z["positions"], F.lit(1), F.lit(p.count + 1)), f"letter:{p.name}", seed
-            )
-            for p in parts
-        ]
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("part_no"), F.lit(p.name).alias("perturbation"), strip(made[i]).alias("text")
-                )
-                for i, p in enumerate(parts)
-            ]
-        )
+        def of_part(p):
+            chosen = F.slice(z["places"], F.lit(1), p["count"] + 1)
+            made = put_letters(z["key"], z["rest"], chosen, F.concat(F.lit("letter:"), p["perturbation"]), seed)
+            return F.struct(p["part_no"].alias("part_no"), p["perturbation"].alias("perturbation"), strip(made).alias("text"))
+
+        return F.transform(each, of_part)
 
     none = F.array().cast("array<struct<part_no:int,perturbation:string,text:string>>")
-    unchanged = F.array(
-        *[
-            F.struct(F.lit(i).alias("part_no"), F.lit(p.name).alias("perturbation"), F.lit("").alias("text"))
-            for i, p in enumerate(parts)
-        ]
-    )
+    unchanged = F.transform(each, lambda p: F.struct(p["part_no"], p["perturbation"], F.lit("").alias("text")))
 
     def drawn(y):
-        return F.when(
-            y["n"] > most,
-            let(
-                {
-                    "key": y["key"],
-                    "rest": y["rest"],
-                    "positions": sample_positions(y["key"], y["n"], most, "letters", seed),
-                },
-                noisy,
-            ),
-        ).otherwise(none)
+        positions = sample_positions(y["key"], y["n"], most, "letters", seed)
+        found = let({"key": y["key"], "rest": y["rest"], "places": letter_places(y["rest"], positions)}, noisy)
+        return F.when(y["n"] > most, found).otherwise(none)
 
     def counted(x):
         rest = F.substring(x["text"], reasoning_boundary(x["text"]) + 1, F.length(x["text"]))
@@ -110,7 +107,8 @@ def letter_noise(key: Column, text: Column, perturbation: str = "typo1", seed: s
             lambda y: let({"key": y["key"], "rest": y["rest"], "n": letter_count(y["rest"])}, drawn),
         )
 
-    return F.when(text == "", unchanged).otherwise(let({"key": key, "text": text}, counted))
+    return F.when(text == "", unchanged).otherwise(let({"key": key, "text": text}, counted)).cast(
+        "array<struct<part_no:int,perturbation:string,text:string>>")
 
 
 def matched_noise(count: int, seed: str = SEED):

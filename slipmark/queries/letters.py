@@ -50,9 +50,11 @@ counted as (select id, t, len(regexp_extract_all(t, '\\p{L}')) as n from src)"""
 @query("letter_noise", f"with recursive {BOUND}," + positions_sql("counted", 10) + f"""
 select id, 0 as part_no, 'typo5' as perturbation, trim(t, {STRIP}) as text from ({noisy_sql("counted", "'letter:typo5'", 6, 10)})
 union all
-select id, 1, 'typo10', trim(t, {STRIP}) from ({noisy_sql("counted", "'letter:typo10'", 11, 10)})""", "texts")
+select id, 1, 'typo10', trim(t, {STRIP}) from ({noisy_sql("counted", "'letter:typo10'", 11, 10)})
+union all
+select id, unnest([0, 1]), unnest(['typo5', 'typo10']), '' from texts where text = ''""", "texts")
 def letter_noise(spark, sf_dir):
-    df = V.texts(spark, sf_dir).where("text <> ''")
+    df = V.texts(spark, sf_dir)
     made = noise.letter_noise(F.col("id"), F.col("text"), "typo5_typo10")
     return array_rows(df, ["id"], made).drop("pos")
 
@@ -65,9 +67,11 @@ def letter_noise(spark, sf_dir):
 second_out as (select id, text as t from outputs where part_no = 1)
 select id, 0 as part_no, 'add1' as perturbation, t as text from ({noisy_sql("first_out", "'letter:all'", 3, 3)})
 union all
-select id, 1, 'add101', t from ({noisy_sql("second_out", "'letter:all'", 3, 3)})""", "texts")
+select id, 1, 'add101', t from ({noisy_sql("second_out", "'letter:all'", 3, 3)})
+union all
+select id, unnest([0, 1]), unnest(['add1', 'add101']), '' from texts where text = ''""", "texts")
 def number_plus_letter_noise(spark, sf_dir):
-    df = V.texts(spark, sf_dir).where("text <> ''")
+    df = V.texts(spark, sf_dir)
     made = number_intervention(
         F.col("id"), F.col("text"), "copy", "add1_add101", noise=noise.matched_noise(3))
     return array_rows(df, ["id"], made).drop("pos")
