@@ -286,6 +286,11 @@ def _candidate_rows(z: Column, position: str, body) -> Column:
 
 
 def _split_numbers(key: Column, text: Column, position: str, remove_steps: bool, body) -> Column:
+    """The candidates of one position, bound for ``body``."""
+    return _with_numbers(key, text, remove_steps, lambda x: _candidate_rows(x, position, body))
+
+
+def _with_numbers(key: Column, text: Column, remove_steps: bool, body) -> Column:
     """Bind boundary, numbers, the count of numbers before the boundary, and the masked step markers."""
     none = F.array().cast("array<int>")
     fields = lambda row, *names: {f: row[f] for f in ("key", "text", "start", *names)}
@@ -294,7 +299,7 @@ def _split_numbers(key: Column, text: Column, position: str, remove_steps: bool,
         masked = _masked_marks(y["text"], y["start"], y["skip"]) if remove_steps else none
         return let(
             {**fields(y, "found", "skip"), "numbers": _numbers(y["found"]), "masked": masked},
-            lambda x: _candidate_rows(x, position, body),
+            body,
         )
 
     return let(
@@ -306,12 +311,7 @@ def _split_numbers(key: Column, text: Column, position: str, remove_steps: bool,
     )
 
 
-def select_candidates(text: Column, position: str, remove_steps: bool = True) -> Column:
-    """The candidates of an error position: array<struct<idx, number, partner_idx>> in value order.
-
-    ``idx`` counts the numbers of the whole masked text; ``partner_idx`` is the second place of ``propcalc``.
-    """
-
+def _listed(position: str):
     def listed(y):
         second = lambda j: F.get(y["s"], j + 1)["p"] if position == "propcalc" else F.lit(None).cast("int")
         return F.transform(
@@ -321,7 +321,21 @@ def select_candidates(text: Column, position: str, remove_steps: bool = True) ->
             ),
         )
 
-    return _split_numbers(F.lit(""), text, position, remove_steps, listed)
+    return listed
+
+
+def select_candidates(text: Column, position: str, remove_steps: bool = True) -> Column:
+    """The candidates of an error position: array<struct<idx, number, partner_idx>> in value order.
+
+    ``idx`` counts the numbers of the whole masked text; ``partner_idx`` is the second place of ``propcalc``.
+    """
+    return _split_numbers(F.lit(""), text, position, remove_steps, _listed(position))
+
+
+def candidates_by_position(text: Column, positions: tuple[str, ...] = POSITIONS, remove_steps: bool = True) -> Column:
+    """The candidates of several positions, array<struct<position, c>>: the text's numbers are found once."""
+    each = lambda x: F.array(*[F.struct(F.lit(p).alias("position"), _candidate_rows(x, p, _listed(p)).alias("c")) for p in positions])
+    return _with_numbers(F.lit(""), text, remove_steps, each)
 
 
 def part_change(key: Column, part: NumberPart, min_adjust: int, max_adjust: int, seed: str = SEED) -> Column:

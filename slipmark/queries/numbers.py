@@ -184,10 +184,7 @@ select id, position, cast(j as int) as j, cast(i as int) as idx, num as number,
        case when position = 'propcalc' then cast(i2 as int) end as partner_idx from cands""", "texts")
 def select_candidates(spark, sf_dir):
     df = V.texts(spark, sf_dir)
-    each = F.array(*[
-        F.struct(F.lit(p).alias("position"), N.select_candidates(F.col("text"), p).alias("c")) for p in N.POSITIONS
-    ])
-    found = df.select("id", F.inline_outer(each))
+    found = df.select("id", F.inline_outer(N.candidates_by_position(F.col("text"))))
     return array_rows(found, ["id", "position"], F.col("c")).withColumnRenamed("pos", "j")
 
 
