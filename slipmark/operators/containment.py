@@ -4,13 +4,16 @@
 
 1. a question equal to a logged one is contained;
 2. a question of at least 2k - 1 characters (k = 16, else k = 8): cut each logged text into consecutive pieces of k
-   characters. If the text holds the question, then for one offset r in 0..k-1 the question's pieces from r on are
-   all among the text's pieces. Offsets whose first piece no logged text has are dropped at once; for each other one
-   the piece found in the fewest logged texts is the join key, and the hits are verified;
+   characters. If the text holds the question, then for one offset r in 0..k-1 the question's m pieces from r on are
+   consecutive pieces of the text. The postings of a text are the hashes of all its runs of L pieces with their places, for
+   the powers of two L that questions need; with the largest L up to m, the question's first run and its last run cover all
+   m pieces. The one that fewer texts hold is the join key, and the other one must stand at the right distance in the same
+   text. So a text is only looked at where it has all pieces of a question in order, however common each piece is;
+   what is left to verify are less than k characters on both sides;
 3. a shorter question must equal a substring of its own length of a logged text.
 
-Both sides are reduced to distinct texts first, so any number of copies costs as much as one, and the rarest piece
-as the key keeps a common phrase from pairing everything with everything.
+Both sides are reduced to distinct texts first, so any number of copies costs as much as one. One text in which a question
+stands is enough, so the first candidate of each question is verified before the others are looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slipmark.functions.lets import let
 from slipmark.functions.text import normalize_question
 from slipmark.sources.scratch import stored
 
@@ -29,10 +33,6 @@ def _id(text: str):
     return F.unhex(F.md5(text))
 
 
-def _pieces(text, size: int):
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s).{{{size}}}"), 0))
-
-
 def drop_contained(questions: DataFrame, log: DataFrame, question: str = "question", logged: str = "question") -> DataFrame:
     """The rows of ``questions`` whose question is in no logged question (carriage returns off, question trimmed).
 
@@ -63,31 +63,59 @@ def contained_questions(asked: DataFrame, logged: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _runs(texts: DataFrame, size: int, lengths: list[int]) -> DataFrame:
+    """The postings: ``_g, _tid, _j``, the hash of each run of a number of pieces that is in ``lengths``, and its first piece's place."""
+    def of(z, n):
+        places = F.when(F.size(z["p"]) >= n, F.sequence(F.lit(0), F.size(z["p"]) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda j: F.struct(j.alias("_j"), F.xxhash64(F.array_join(F.slice(z["p"], j + 1, F.lit(n)), "")).alias("_g")))
+
+    pieces = F.regexp_extract_all("_t", F.lit(rf"(?s).{{{size}}}"), 0)
+    listed = let({"p": pieces}, lambda z: F.flatten(F.array(*[of(z, n) for n in lengths])))
+    return texts.select("_tid", F.inline(listed))
+
+
+def _spots(rest: DataFrame, size: int) -> DataFrame:
+    """``_qid, _n, _a, _b, _far``: at each offset the number of pieces in a run, the hashes of the first and the last run, and the
+    distance of the latter in pieces."""
+    at = rest.select(_id("_q").alias("_qid"), "_q", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_r"))
+    at = at.withColumn("_m", F.floor((F.length("_q") - F.col("_r")) / size).cast("int"))
+    at = at.withColumn("_n", F.pow(F.lit(2), F.length(F.bin("_m")) - 1).cast("int"))  # the largest power of two up to _m
+    run = lambda first: F.xxhash64(F.substring(F.col("_q"), F.col("_r") + first * size + 1, F.col("_n") * size))
+    far = F.col("_m") - F.col("_n")
+    return at.select("_qid", "_n", run(F.lit(0)).alias("_a"), run(far).alias("_b"), far.alias("_far"))
+
+
 def _by_pieces(rest: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    marks = stored(
-        texts.select("_tid", F.explode(F.transform(_pieces(F.col("_t"), size), lambda g: F.xxhash64(g))).alias("_g")),
-        "logged-pieces",
+    spots = stored(_spots(rest, size), "question-runs")
+    lengths = sorted(r[0] for r in spots.select("_n").distinct().collect())  # powers of two: at most 31
+    if not lengths:
+        return rest.select("_q")  # no question of this size
+    runs = stored(_runs(texts, size, lengths), "logged-runs")
+    spread = runs.groupBy("_g").agg(F.count("*").alias("_df"))
+    counted = (
+        spots.join(spread.select(F.col("_g").alias("_a"), F.col("_df").alias("_da")), "_a")
+        .join(spread.select(F.col("_g").alias("_b"), F.col("_df").alias("_db")), "_b")
     )
-    spread = marks.groupBy("_g").agg(F.count("*").alias("_df"))
+    # from the rarer run to the other one: its hash, and how many pieces further it stands
+    first = F.col("_da") <= F.col("_db")
+    keyed = counted.select(
+        "_qid", F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("_g"),
+        F.when(first, F.col("_b")).otherwise(F.col("_a")).alias("_other"),
+        F.when(first, F.col("_far")).otherwise(-F.col("_far")).alias("_step"),
+    ).distinct()
+    met = keyed.join(runs, "_g").select("_qid", "_tid", "_other", (F.col("_j") + F.col("_step")).alias("_at"), "_step").distinct()
+    others = runs.select(F.col("_g").alias("_other"), "_tid", F.col("_j").alias("_at"))
+    pairs = met.where("_step = 0").unionByName(met.where("_step <> 0").join(others, ["_tid", "_other", "_at"], "left_semi"))
+    pairs = stored(pairs.select("_qid", "_tid").distinct(), "containment-pairs")
     asked = rest.select(_id("_q").alias("_qid"), "_q")
-    at = lambda r: F.xxhash64(F.substring("_q", r + 1, size))
-    starts = asked.select(
-        "_qid", F.posexplode(F.array(*[at(r) for r in range(size)])).alias("_r", "_g")
-    ).join(spread.select("_g"), "_g", "left_semi")
-    own = starts.select("_qid", "_r").join(asked, "_qid").select(
-        "_qid", "_r",
-        F.explode(_pieces(F.substring(F.col("_q"), F.col("_r") + 1, F.length("_q")), size)).alias("_g"),
-    ).select("_qid", "_r", F.xxhash64("_g").alias("_g"))
-    # an offset with a piece that no logged text has is ruled out; of the others the rarest piece is the key
-    ranked = (
-        own.join(spread, "_g", "left")
-        .groupBy("_qid", "_r")
-        .agg(F.bool_and(F.col("_df").isNotNull()).alias("_all"), F.min_by("_g", "_df").alias("_g"))
-        .where("_all")
-    )
-    pairs = ranked.select("_qid", "_g").distinct().join(marks, "_g").select("_qid", "_tid").distinct()
-    checked = pairs.join(asked, "_qid").join(texts, "_tid").where(F.contains("_t", F.col("_q")))
-    return checked.select("_q").distinct()
+
+    def checked(some: DataFrame) -> DataFrame:
+        held = some.join(asked, "_qid").join(texts, "_tid").where(F.contains("_t", F.col("_q")))
+        return held.select("_qid", "_q").distinct()
+
+    found = stored(checked(pairs.groupBy("_qid").agg(F.min("_tid").alias("_tid"))), "contained-at-once")
+    more = checked(pairs.join(found.select("_qid"), "_qid", "left_anti"))
+    return found.select("_q").unionByName(more.select("_q"))
 
 
 def _short_ones(rest: DataFrame, texts: DataFrame, lengths: list[int]) -> DataFrame:

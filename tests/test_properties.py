@@ -88,6 +88,27 @@ def test_containment_agrees_with_nested_loop(spark):
     assert got == want
 
 
+def test_templated_questions_give_as_many_candidates_as_hits(spark, monkeypatch):
+    """All questions and texts share long common parts; pairs grow with the texts, not with questions times texts."""
+    common = "A box of many pens stands in the long hall beside the old red door, and nobody counts "
+    counts = []
+    keep = containment.stored
+
+    def counted(df, name="table"):
+        out = keep(df, name)
+        if name == "containment-pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(containment, "stored", counted)
+    for n in (100, 200):
+        tail = lambda i: f"the {i:05d} pens of lot {i * 7919 % 99991:05d} today, or so they say in the shop"
+        log = spark.createDataFrame([(f"Q{i}. {common}{tail(i)} at last",) for i in range(n)], "question string")
+        asked = spark.createDataFrame([(i, f"{common}{tail(i) if i % 2 else tail(i + 100_000)}") for i in range(n)], "id long, question string")
+        assert sorted(r.id for r in containment.drop_contained(asked, log).collect()) == list(range(0, n, 2))
+    assert counts[1] <= 2 * counts[0] + 10 and counts[1] <= 2 * 200
+
+
 def test_numbering_and_runs_do_not_depend_on_partitions(spark):
     rows = [(f"f{i % 3}", i, "m" + str((i // 7) % 3)) for i in range(500)]
     df = spark.createDataFrame(rows, "log_file string, id long, model string").repartition(13)
