@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,12 @@ def warc_records(pages: DataFrame, per_file: int = 1000, id_col: str = "page_id"
     record = F.concat(head, body, F.lit("\r\n\r\n"))
     file = F.coalesce(F.concat(F.lit("crawl-"), F.expr(f"cast(`{id_col}` div {per_file} as string)"), F.lit(".warc")), F.lit("crawl-none.warc"))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), file.alias("file"), record.alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
+    return placed(rows)
+
+
+def placed(records: DataFrame) -> DataFrame:
+    """Length and offset of each record in its file, from the bytes that are there before it, in the order of ``page_id``."""
+    rows = records.withColumn("length", F.octet_length("record").cast("long"))
     order = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
 
@@ -47,6 +55,7 @@ def leaf_entries(records: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     return records.where("file is not null and offset is not null").select(
         "file", F.expr(f"offset div {leaf_bytes}").alias("node"), "offset",
         F.concat_ws(":", F.coalesce(F.col("length").cast("string"), F.lit("")), F.sha2(F.coalesce("record", F.lit("")), 256)).alias("entry"),
+        F.regexp_extract(F.coalesce("record", F.lit("")), r"(?s)^WARC/[^\r\n]*\r\n(?:[^\r\n]+\r\n)*?WARC-Record-ID: *([^\r\n]+)", 1).alias("name"),
     )
 
 
@@ -67,13 +76,70 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataF
     return both.where(~F.col("va").eqNullSafe(F.col("vb")))
 
 
+def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Equal records of a file are told apart by their order."""
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("offset", "entry")))
+
+
+def _pairs(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """The n-th record of ``by`` in ``a`` with the n-th one in ``b``: ``file, offset, second_offset, na, nb``."""
+    side = lambda d, n, o: _numbered(d, by).select(*by, "k", F.col("row").alias(n), F.col("offset").alias(o))
+    pairs = side(a, "na", "offset").join(side(b, "nb", "second_offset"), [*by, "k"])
+    return pairs.select("file", "offset", "second_offset", "na", "nb")
+
+
+def _rising(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The longest run of pairs whose offsets rise in both replicas."""
+    pdf = pdf.sort_values(["offset", "na"], kind="stable")
+    places = list(zip(pdf["second_offset"], pdf["nb"], strict=True))
+    tails: list[tuple] = []
+    last, before = [], [-1] * len(places)
+    for i, place in enumerate(places):
+        j = bisect_left(tails, place)
+        tails[j : j + 1], last[j : j + 1] = [place], [i]
+        before[i] = last[j - 1] if j else -1
+    kept, i = [], last[-1]
+    while i >= 0:
+        kept.append(i)
+        i = before[i]
+    return pdf.iloc[kept[::-1]]
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """Pairs in the same order on both sides. Only files in which some are not are looked at in a group of their own."""
+    by_file = Window.partitionBy("file")
+    ranked = pairs.withColumn("ra", F.row_number().over(by_file.orderBy("offset", "na"))).withColumn(
+        "rb", F.row_number().over(by_file.orderBy("second_offset", "nb")))
+    ranked = stored(ranked.withColumn("mixed", F.max(F.col("ra") != F.col("rb")).over(by_file)).drop("ra", "rb"), "fixity-pairs")
+    schema = "file string, offset long, second_offset long, na long, nb long"
+    mixed = ranked.where("mixed").drop("mixed").groupBy("file").applyInPandas(_rising, schema)
+    return stored(ranked.where("not mixed").drop("mixed").unionByName(mixed), "fixity-aligned")
+
+
+def _with_gap(rows: DataFrame, pairs: DataFrame, number: str, offset: str) -> DataFrame:
+    """Rows that are in no pair, with the number of pairs before them in their file."""
+    marks = pairs.select("file", F.col(offset).alias("offset"), F.col(number).alias("row"), F.lit(1).alias("pair"))
+    order = Window.partitionBy("file").orderBy("offset", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.select("file", "offset", "row", "entry", "name", "size").join(marks, ["file", "offset", "row"], "left")
+    return both.withColumn("gap", F.count("pair").over(order)).where("pair is null").drop("pair")
+
+
 def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
-    """Records that differ between two replicas: ``file, offset, status`` (``changed``, ``missing`` or ``extra`` in the second).
+    """Records that differ between two replicas: ``file, offset, status, second_offset``.
 
     Both have ``file, offset, length, record``. Each side builds its tree once; roots are compared by file, and only the
-    children of differing nodes are read further down, so equal files cost their root. Rows with a null file or offset are not
-    audited; a null record is an empty one; repeated equal records of an offset count, and one more or less of them is a change.
-    Empty replicas differ in every record of the other; columns of other names are ignored.
+    children of differing nodes are read further down, so equal files cost their root. Under the differing leaves the
+    records of a file are then aligned, since one lost or added record moves all that follow: records of equal content are
+    paired in order (the longest rising run where some are out of order), and what stands between two pairs is compared:
+
+    * ``changed``: the record of the same WARC-Record-ID, or else of the same length, or else the next one, has other content;
+    * ``moved``: the same content stands elsewhere in the file, out of order;
+    * ``missing``: only the first replica has it; ``extra``: only the second one (``offset`` is then its place there).
+
+    ``second_offset`` is the place in the second replica, null for missing records. Rows with a null file or offset are not
+    audited; a null record is an empty one; repeated equal records count, and one more or less of them is a change. Empty
+    replicas differ in every record of the other; columns of other names are ignored. A very long record is one row.
+    The records of one file are one group of their digests; many files are many tasks.
     """
     top = first.agg(F.max("offset").alias("o")).union(second.agg(F.max("offset").alias("o"))).agg(F.max("o")).first()[0]
     height, reach = 0, (top or 0) // leaf_bytes
@@ -91,10 +157,25 @@ def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = LEAF_BYTES) ->
         )
         nodes = _differing(below(a), below(b), ["file", "node"], "digest").select("file", "node")
     nodes = stored(nodes, "fixity-nodes")
-    held = lambda e: (
-        e.join(nodes, ["file", "node"], "left_semi").groupBy("file", "offset")
-        .agg(F.array_join(F.sort_array(F.collect_list("entry")), ",").alias("held")))
-    return _differing(held(entries_a), held(entries_b), ["file", "offset"], "held").select(
-        "file", "offset",
-        F.when(F.col("vb").isNull(), "missing").when(F.col("va").isNull(), "extra").otherwise("changed").alias("status"),
-    )
+
+    def held(entries: DataFrame) -> DataFrame:
+        order = Window.partitionBy("file").orderBy("offset", "entry")
+        rows = entries.join(nodes, ["file", "node"], "left_semi").withColumn("row", F.row_number().over(order).cast("long"))
+        return stored(rows.withColumn("size", F.substring_index("entry", ":", 1)), "fixity-held")
+
+    a, b = held(entries_a), held(entries_b)
+    same = _in_order(_pairs(a, b, ["file", "entry"]))
+    rest_a = stored(_with_gap(a, same, "na", "offset"), "fixity-rest")
+    rest_b = stored(_with_gap(b, same, "nb", "second_offset"), "fixity-rest")
+    out = None
+    steps = [("moved", ["file", "entry"]), ("changed", ["file", "name"]), ("changed", ["file", "gap", "size"]), ("changed", ["file", "gap"])]
+    for status, by in steps:
+        named = lambda d: d.where("name <> ''") if "name" in by else d  # noqa: B023, E731
+        met = stored(_pairs(named(rest_a), named(rest_b), by), "fixity-met")
+        rest_a = rest_a.join(met.select("file", F.col("na").alias("row")), ["file", "row"], "left_anti")
+        rest_b = rest_b.join(met.select("file", F.col("nb").alias("row")), ["file", "row"], "left_anti")
+        rows = met.select("file", "offset", F.lit(status).alias("status"), "second_offset")
+        out = rows if out is None else out.unionAll(rows)
+    missing = rest_a.select("file", "offset", F.lit("missing").alias("status"), F.lit(None).cast("long").alias("second_offset"))
+    extra = rest_b.select("file", "offset", F.lit("extra").alias("status"), F.col("offset").alias("second_offset"))
+    return out.unionAll(missing).unionAll(extra)

@@ -143,32 +143,45 @@ with bodies as (
             || 'Content-Length: ........') + length(cast(page_id as varchar)) + strlen(url) + strlen(body)
             + length(cast(strlen(body) as varchar)) as length
     from bodies
-), placed as (
-    select page_id, file, cast(coalesce(sum(length) over (
-        partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
+), marked as (
+    select *, (page_id * 104729) % 499 = 1 as lost, (page_id * 15485863) % 997 = 2 as late, (page_id * 7919) % 211 = 0 as flipped
     from records
+), placed as (
+    select *, cast(coalesce(sum(case when not late or lost then length end) over before, 0) as bigint) as first_offset,
+        cast(coalesce(sum(case when not lost then length end) over before, 0) as bigint) as second_offset
+    from marked window before as (partition by file order by page_id rows between unbounded preceding and 1 preceding)
 )
-select page_id, file, "offset",
-    case when (page_id * 104729) % 499 = 1 then 'missing' when (page_id * 15485863) % 997 = 2 then 'extra' else 'changed' end as status
-from placed
-where (page_id * 104729) % 499 = 1 or (page_id * 15485863) % 997 = 2 or (page_id * 7919) % 211 = 0
+select page_id, file, case when late and not lost then second_offset else first_offset end as "offset",
+    case when lost then 'missing' when late then 'extra' else 'changed' end as status,
+    case when not lost then second_offset end as second_offset
+from placed where lost or late or flipped
 """
 
 
 @query("op3_merkle_fixity", _FIXITY)
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two replicas of the pages' WARC files, each with records that were lost, and one with flipped bytes."""
+    """Two replicas of the pages' WARC files, each without some records and so with offsets of its own; one has changed bytes.
+
+    The first and the second offsets are those of the replicas' own bytes.
+    """
     from pyspark.sql import functions as F
 
-    from slipmark.llm.fixity import audit, warc_records
+    from slipmark.llm.fixity import audit, placed, warc_records
     from slipmark.sources.scratch import stored
 
-    whole = stored(warc_records(_table(spark, sf_dir, "pages")), "fixity-records")
+    whole = stored(warc_records(_table(spark, sf_dir, "pages")).select("page_id", "file", "record"), "fixity-records")
     lost, late = F.expr("(page_id * 104729) % 499 = 1"), F.expr("(page_id * 15485863) % 997 = 2")
-    flipped = F.concat(F.expr("substring(record, 1, 40)"), F.lit("?"), F.expr("substring(record, 42)"))
-    second = whole.where(~lost).withColumn("record", F.when(F.expr("(page_id * 7919) % 211 = 0"), flipped).otherwise(F.col("record")))
-    found = audit(whole.where(~late | lost), second)
-    return found.join(whole.select("page_id", "file", "offset"), ["file", "offset"]).select("page_id", "file", "offset", "status")
+    at = F.length("record") - 4  # before the closing line breaks
+    changed = F.overlay("record", F.when(F.substring(F.col("record"), at, F.lit(1)) == "?", "!").otherwise("?"), at, F.lit(1))
+    first = stored(placed(whole.where(~late | lost)), "fixity-first")
+    kept = whole.where(~lost).withColumn("record", F.when(F.expr("(page_id * 7919) % 211 = 0"), changed).otherwise(F.col("record")))
+    second = stored(placed(kept), "fixity-second")
+    found = audit(first, second)
+    ids = lambda d, name: d.select(F.col("page_id").alias(name), "file", F.col("offset").alias(f"{name}_at"))
+    one, two = ids(first, "a"), ids(second, "b")
+    known = found.join(one, (found["file"] == one["file"]) & (found["offset"] == one["a_at"]) & (found["status"] != "extra"), "left").drop(one["file"])
+    known = known.join(two, (known["file"] == two["file"]) & (known["second_offset"] == two["b_at"]) & (known["status"] == "extra"), "left").drop(two["file"])
+    return known.select(F.coalesce("a", "b").alias("page_id"), "file", "offset", "status", "second_offset")
 
 
 @query("pipeline")
