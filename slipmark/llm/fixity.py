@@ -34,10 +34,22 @@ def warc_records(pages: DataFrame, per_file: int = 1000, id_col: str = "page_id"
 
 
 def placed(records: DataFrame) -> DataFrame:
-    """Length and offset of each record in its file, from the bytes that are there before it, in the order of ``page_id``."""
-    rows = records.withColumn("length", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
+    """The offset of each record in its file, from the bytes that are there before it, in the order of ``page_id``; of records, or
+    of their digests (``digested``), which are all that then has to be shuffled."""
+    if "record" in records.columns:
+        records = records.withColumn("length", F.octet_length("record").cast("long"))
+    last = "record" if "record" in records.columns else "entry"
+    order = Window.partitionBy("file").orderBy("page_id", last).rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
+
+
+def digested(records: DataFrame) -> DataFrame:
+    """The records without their bytes: ``entry`` (length and content digest) and ``name`` (the WARC-Record-ID) in place of ``record``."""
+    text = F.coalesce("record", F.lit(""))
+    length = F.col("length") if "length" in records.columns else F.octet_length("record").cast("long")
+    name = F.regexp_extract(text, r"(?s)^WARC/[^\r\n]*\r\n(?:[^\r\n]+\r\n)*?WARC-Record-ID: *([^\r\n]+)", 1)
+    entry = F.concat_ws(":", F.coalesce(length.cast("string"), F.lit("")), F.sha2(text, 256))
+    return records.withColumn("length", length).withColumn("entry", entry).withColumn("name", name).drop("record")
 
 
 def _fold(parts: str, order: str) -> Column:
@@ -47,28 +59,25 @@ def _fold(parts: str, order: str) -> Column:
 
 
 def leaf_entries(records: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
-    """``file, node, offset, entry``: length and content digest of each record, under the leaf of its offset.
+    """``file, node, offset, entry, name``: each record's digest under the leaf of its offset.
 
     A record belongs to the offset range in which it begins, so a leaf holds at most as many records as bytes, whatever
     the size of the file. Records with equal offsets in a file are ordered by digest.
     """
-    return records.where("file is not null and offset is not null").select(
-        "file", F.expr(f"offset div {leaf_bytes}").alias("node"), "offset",
-        F.concat_ws(":", F.coalesce(F.col("length").cast("string"), F.lit("")), F.sha2(F.coalesce("record", F.lit("")), 256)).alias("entry"),
-        F.regexp_extract(F.coalesce("record", F.lit("")), r"(?s)^WARC/[^\r\n]*\r\n(?:[^\r\n]+\r\n)*?WARC-Record-ID: *([^\r\n]+)", 1).alias("name"),
-    )
+    rows = digested(records) if "record" in records.columns else records
+    return rows.where("file is not null and offset is not null").select(
+        "file", F.expr(f"offset div {leaf_bytes}").alias("node"), "offset", "entry", "name")
 
 
-def tree(records: DataFrame, height: int, leaf_bytes: int = LEAF_BYTES) -> tuple[DataFrame, list[DataFrame]]:
-    """Entries, and node digests of each level, leaves first and the root of each file last."""
-    entries = stored(leaf_entries(records, leaf_bytes), "fixity-entries")
+def tree(entries: DataFrame, height: int) -> list[DataFrame]:
+    """Node digests of each level over leaf entries, leaves first and the root of each file last."""
     level = stored(entries.groupBy("file", "node").agg(_fold("entry", "offset").alias("digest")), "fixity-level")
     levels = [level]
     for _ in range(height):
         up = level.select("file", F.shiftright("node", FAN_BITS).alias("up"), "node", "digest")
         level = stored(up.groupBy("file", F.col("up").alias("node")).agg(_fold("digest", "node").alias("digest")), "fixity-level")
         levels.append(level)
-    return entries, levels
+    return levels
 
 
 def _differing(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -83,9 +92,9 @@ def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def _pairs(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """The n-th record of ``by`` in ``a`` with the n-th one in ``b``: ``file, offset, second_offset, na, nb``."""
-    side = lambda d, n, o: _numbered(d, by).select(*by, "k", F.col("row").alias(n), F.col("offset").alias(o))
+    side = lambda d, n, o: _numbered(d, by).select(*by, "k", F.col("row").alias(n), F.col("offset").alias(o), F.col("name").alias(f"name_{n}"))
     pairs = side(a, "na", "offset").join(side(b, "nb", "second_offset"), [*by, "k"])
-    return pairs.select("file", "offset", "second_offset", "na", "nb")
+    return pairs.select("file", "offset", "second_offset", "na", "nb", F.coalesce(F.nullif("name_na", F.lit("")), "name_nb").alias("name"))
 
 
 def _rising(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +120,7 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     ranked = pairs.withColumn("ra", F.row_number().over(by_file.orderBy("offset", "na"))).withColumn(
         "rb", F.row_number().over(by_file.orderBy("second_offset", "nb")))
     ranked = stored(ranked.withColumn("mixed", F.max(F.col("ra") != F.col("rb")).over(by_file)).drop("ra", "rb"), "fixity-pairs")
-    schema = "file string, offset long, second_offset long, na long, nb long"
+    schema = "file string, offset long, second_offset long, na long, nb long, name string"
     mixed = ranked.where("mixed").drop("mixed").groupBy("file").applyInPandas(_rising, schema)
     return stored(ranked.where("not mixed").drop("mixed").unionByName(mixed), "fixity-aligned")
 
@@ -125,9 +134,9 @@ def _with_gap(rows: DataFrame, pairs: DataFrame, number: str, offset: str) -> Da
 
 
 def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
-    """Records that differ between two replicas: ``file, offset, status, second_offset``.
+    """Records that differ between two replicas: ``file, offset, status, second_offset, name``.
 
-    Both have ``file, offset, length, record``. Each side builds its tree once; roots are compared by file, and only the
+    Both have ``file, offset, length, record``, or are ``digested``. Each side is read once and builds its tree; roots are compared by file, and only the
     children of differing nodes are read further down, so equal files cost their root. Under the differing leaves the
     records of a file are then aligned, since one lost or added record moves all that follow: records of equal content are
     paired in order (the longest rising run where some are out of order), and what stands between two pairs is compared:
@@ -136,18 +145,18 @@ def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = LEAF_BYTES) ->
     * ``moved``: the same content stands elsewhere in the file, out of order;
     * ``missing``: only the first replica has it; ``extra``: only the second one (``offset`` is then its place there).
 
-    ``second_offset`` is the place in the second replica, null for missing records. Rows with a null file or offset are not
+    ``second_offset`` is the place in the second replica, null for missing records; ``name`` is the WARC-Record-ID. Rows with a null file or offset are not
     audited; a null record is an empty one; repeated equal records count, and one more or less of them is a change. Empty
     replicas differ in every record of the other; columns of other names are ignored. A very long record is one row.
     The records of one file are one group of their digests; many files are many tasks.
     """
-    top = first.agg(F.max("offset").alias("o")).union(second.agg(F.max("offset").alias("o"))).agg(F.max("o")).first()[0]
-    height, reach = 0, (top or 0) // leaf_bytes
+    entries_a, entries_b = (stored(leaf_entries(d, leaf_bytes), "fixity-entries") for d in (first, second))
+    reach = entries_a.select("node").union(entries_b.select("node")).agg(F.max("node")).first()[0] or 0
+    height = 0
     while reach:
         reach >>= FAN_BITS
         height += 1
-    entries_a, levels_a = tree(first, height, leaf_bytes)
-    entries_b, levels_b = tree(second, height, leaf_bytes)
+    levels_a, levels_b = tree(entries_a, height), tree(entries_b, height)
     nodes = _differing(levels_a[-1], levels_b[-1], ["file", "node"], "digest").select("file", "node")
     for a, b in zip(levels_a[-2::-1], levels_b[-2::-1], strict=True):
         nodes = stored(nodes, "fixity-nodes")
@@ -174,8 +183,8 @@ def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = LEAF_BYTES) ->
         met = stored(_pairs(named(rest_a), named(rest_b), by), "fixity-met")
         rest_a = rest_a.join(met.select("file", F.col("na").alias("row")), ["file", "row"], "left_anti")
         rest_b = rest_b.join(met.select("file", F.col("nb").alias("row")), ["file", "row"], "left_anti")
-        rows = met.select("file", "offset", F.lit(status).alias("status"), "second_offset")
+        rows = met.select("file", "offset", F.lit(status).alias("status"), "second_offset", "name")
         out = rows if out is None else out.unionAll(rows)
-    missing = rest_a.select("file", "offset", F.lit("missing").alias("status"), F.lit(None).cast("long").alias("second_offset"))
-    extra = rest_b.select("file", "offset", F.lit("extra").alias("status"), F.col("offset").alias("second_offset"))
+    missing = rest_a.select("file", "offset", F.lit("missing").alias("status"), F.lit(None).cast("long").alias("second_offset"), "name")
+    extra = rest_b.select("file", "offset", F.lit("extra").alias("status"), F.col("offset").alias("second_offset"), "name")
     return out.unionAll(missing).unionAll(extra)

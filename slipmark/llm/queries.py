@@ -166,22 +166,16 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    from slipmark.llm.fixity import audit, placed, warc_records
-    from slipmark.sources.scratch import stored
+    from slipmark.llm.fixity import audit, digested, placed, warc_records
 
-    whole = stored(warc_records(_table(spark, sf_dir, "pages")).select("page_id", "file", "record"), "fixity-records")
+    whole = warc_records(_table(spark, sf_dir, "pages")).select("page_id", "file", "record")
     lost, late = F.expr("(page_id * 104729) % 499 = 1"), F.expr("(page_id * 15485863) % 997 = 2")
     at = F.length("record") - 4  # before the closing line breaks
     changed = F.overlay("record", F.when(F.substring(F.col("record"), at, F.lit(1)) == "?", "!").otherwise("?"), at, F.lit(1))
-    first = stored(placed(whole.where(~late | lost)), "fixity-first")
     kept = whole.where(~lost).withColumn("record", F.when(F.expr("(page_id * 7919) % 211 = 0"), changed).otherwise(F.col("record")))
-    second = stored(placed(kept), "fixity-second")
-    found = audit(first, second)
-    ids = lambda d, name: d.select(F.col("page_id").alias(name), "file", F.col("offset").alias(f"{name}_at"))
-    one, two = ids(first, "a"), ids(second, "b")
-    known = found.join(one, (found["file"] == one["file"]) & (found["offset"] == one["a_at"]) & (found["status"] != "extra"), "left").drop(one["file"])
-    known = known.join(two, (known["file"] == two["file"]) & (known["second_offset"] == two["b_at"]) & (known["status"] == "extra"), "left").drop(two["file"])
-    return known.select(F.coalesce("a", "b").alias("page_id"), "file", "offset", "status", "second_offset")
+    found = audit(placed(digested(whole.where(~late | lost))), placed(digested(kept)))
+    page = F.regexp_extract("name", "<urn:page:(-?[0-9]+)>", 1).cast("long")
+    return found.select(page.alias("page_id"), "file", "offset", "status", "second_offset")
 
 
 @query("pipeline")
