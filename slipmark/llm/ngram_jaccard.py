@@ -13,6 +13,8 @@ from slipmark.llm.batches import id_bitmap, in_bitmap, list_array, mix, set_key,
 from slipmark.llm.components import components
 from slipmark.sources.scratch import stored
 
+#: Parts into which the rows of a component are dealt where components meet.
+_SALTS = 8
 #: Shingles counted together inside a task.
 _COUNTED_TOGETHER = 1 << 21
 
@@ -27,8 +29,10 @@ def _enough(overlap, a, b, percent: int):
     return (100 + percent) * overlap >= percent * (a + b)
 
 
-def frequent_tokens(texts: DataFrame, words: int = 5, min_docs: int = 8, capacity: int = 1 << 18) -> np.ndarray:
-    """Tokens that many different texts hold, found over all texts.
+def frequent_tokens(
+    texts: DataFrame, words: int = 5, min_docs: int = 8, capacity: int = 1 << 18
+) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that many different texts hold, found over all texts: sorted by hash, and the rank of each by its count.
 
     A task counts the tokens of about two million shingles at a time, each set once, and reports those found more than
     once; the sums over tasks decide. At most ``capacity`` tokens, the most frequent ones, are returned: they only
@@ -65,7 +69,10 @@ def frequent_tokens(texts: DataFrame, words: int = 5, min_docs: int = 8, capacit
         .groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
         .orderBy(F.desc("n"), "tok").limit(capacity).select("tok").collect()
     )
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+    tokens = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+    by_hash = np.argsort(tokens)
+    # rows come with the most frequent one first; the rarest has rank 0
+    return tokens[by_hash], len(tokens) - 1 - by_hash
 
 
 def _is_in(tokens: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -75,9 +82,10 @@ def _is_in(tokens: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == tokens
 
 
-def _prepare(texts: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+def _prepare(texts: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: int, percent: int) -> DataFrame:
     """Per text: set size and key, frequent tokens in the set, and its prefix in the first order (rare tokens by hash,
-    then frequent ones by hash), cut in its rare and its frequent part. A set that a task has met before has no prefix."""
+    then frequent ones by their counts), cut in its rare and its frequent part. A set that a task has met before has no
+    prefix."""
     schema = "doc_id long, n long, k long, h long, rare array<long>, often array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +107,9 @@ def _prepare(texts: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                 p = _prefix_length(len(tokens), percent)
                 first = tokens[~flag][:p]
                 rare.append(first.view(np.int64))
-                often.append(tokens[flag][: p - len(first)].view(np.int64))
+                last = tokens[flag]
+                by_count = np.argsort(rank[np.searchsorted(frequent, last)])
+                often.append(last[by_count[: p - len(first)]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(hot, pa.int64()),
@@ -120,8 +130,34 @@ def _order(tokens: np.ndarray, seed: int) -> np.ndarray:
 ORDERS = (0x51ED270B7F4A7C15, 0x2545F4914F6CDD1D)
 
 
+#: Bits of the smallest and the largest parity sketch.
+_SKETCH_BITS = (1 << 8, 1 << 12)
+
+
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each of about as many bits as there are tokens (a power of two)."""
+    bits = min(max(_SKETCH_BITS[0], 1 << (max(len(tokens), 1) - 1).bit_length()), _SKETCH_BITS[1])
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _near(a: str, b: str, na: str, nb: str, percent: int):
+    """Tokens of one set only are at least as many as the bits in which two sketches differ. The halves of a sketch combine to
+    the one of half the length; the lengths of two sets of similar size differ by one halving at most."""
+    short = F.least(F.size(a), F.size(b))
+
+    def cut(x: str):
+        halves = F.zip_with(F.slice(x, F.lit(1), short), F.slice(x, short + 1, short), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > short, halves).otherwise(F.col(x))
+
+    apart = F.aggregate(
+        F.zip_with(cut(a), cut(b), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, x: t + x
+    )
+    return _sizes(percent, na, nb) & ((100 + percent) * apart <= (100 - percent) * (F.col(na) + F.col(nb)))
+
+
 def _prefixes(texts: DataFrame, needed: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Prefixes in the further orders, of the texts in the bitmap."""
+    """Prefixes in the further orders and sketches, of the texts in the bitmap."""
     names = [f"o{i}" for i in range(len(ORDERS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +167,13 @@ def _prefixes(texts: DataFrame, needed: np.ndarray, words: int, percent: int) ->
                 pa.array([_order(t, seed)[: _prefix_length(len(t), percent)].tobytes() for t in sets], pa.binary())
                 for seed in ORDERS
             ]
+            sketches = list_array([_sketch(t) for t in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), *columns], ["id", "n", *names]
+                [batch.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), *columns, sketches],
+                ["id", "n", *names, "sketch"],
             )
 
-    return texts.mapInArrow(run, "id long, n long, " + ", ".join(f"{x} binary" for x in names))
+    return texts.mapInArrow(run, "id long, n long, " + ", ".join(f"{x} binary" for x in names) + ", sketch array<long>")
 
 
 def _only(batches: Iterator[pa.RecordBatch], needed: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -204,7 +242,7 @@ def _hot_sizes(percent: int, n1: str, n2: str, h1: str, h2: str):
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
-    min_docs: int = 8, capacity: int = 1 << 18,
+    min_docs: int = 8, capacity: int = 1 << 18, light: int = 64,
 ) -> DataFrame:
     """One row for each input row: ``doc_id``, ``n_shingles``, ``component_id``, ``set_key`` (equal for equal sets; null for empty).
 
@@ -213,32 +251,37 @@ def jaccard_components(
     its own id; a null id has a null component; repeated rows are kept and share their component; other columns are ignored.
 
     * Equal sets are one class, of the smallest id.
-    * First order: tokens by hash, frequent ones last. Texts that share a rare prefix token are candidates.
+    * First order: tokens by hash, frequent ones last, by their counts. Texts that share a rare prefix token are candidates.
     * Texts whose prefix reaches the frequent tokens are large groups of near copies, or little but shared passages. The one
       with the largest share of frequent tokens in a token's texts is its centre: all are compared with centres first,
-      and then only texts of different components.
+      and then only texts of different components, of which those with too different parity sketches are no candidates.
+    * A rare prefix token with more than ``light`` postings goes the same way as a frequent one; the postings are counted
+      where they meet, so this has no bound.
     * Further orders: the candidates must also pass the prefix filter in each of these; then whole sets decide.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    frequent = frequent_tokens(texts, words, min_docs, capacity)
-    prep = stored(_prepare(texts, frequent, words, percent), "jaccard-prefixes")
+    frequent, rank = frequent_tokens(texts, words, min_docs, capacity)
+    prep = stored(_prepare(texts, frequent, rank, words, percent), "jaccard-prefixes")
     classes = prep.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("id"))
     classes = stored(classes.where("id is not null"), "jaccard-classes")
 
     by_token = Window.partitionBy("tok")
     shared = (
         prep.where("rare is not null").select("k", "n", F.explode("rare").alias("tok"))
-        .select("tok", "k", "n", F.min("k").over(by_token).alias("lo"), F.max("k").over(by_token).alias("hi"))
-        .where("lo <> hi").select("tok", "k", "n").distinct()
+        .select("tok", "k", "n", F.min("k").over(by_token).alias("lo"), F.max("k").over(by_token).alias("hi"),
+                F.count("*").over(by_token).alias("m"))
+        .where("lo <> hi").select("tok", "k", "n", (F.col("m") <= light).alias("few")).distinct()
     )
-    shared = stored(shared.join(classes, "k").select("tok", "id", "n"), "jaccard-postings")
-    one, two = (shared.select("tok", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    shared = stored(shared.join(classes, "k").select("tok", "id", "n", "few"), "jaccard-postings")
+    one, two = (shared.where("few").select("tok", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     rare_pairs = one.join(two, "tok").where((F.col("a") < F.col("b")) & _sizes(percent, "na", "nb")).select("a", "b").distinct()
 
     dense = prep.where("size(often) > 0").select("k", "n", "h", F.explode("often").alias("tok")).distinct()
-    dense = stored(dense.join(classes, "k").select("tok", "id", "n", "h"), "jaccard-dense")
-    rank = F.struct((F.col("h") / F.col("n")).alias("share"), "n", "id")
-    centres = dense.groupBy("tok").agg(F.max_by(F.struct("id", "n", "h"), rank).alias("c"))
+    # texts that meet in a rare token may share any of their tokens
+    many = shared.where("not few").select("tok", "id", "n", F.col("n").alias("h"))
+    dense = stored(dense.join(classes, "k").select("tok", "id", "n", "h").union(many), "jaccard-dense")
+    first = F.struct((F.col("h") / F.col("n")).alias("share"), "n", "id")
+    centres = dense.groupBy("tok").agg(F.max_by(F.struct("id", "n", "h"), first).alias("c"))
     stars = (
         dense.join(centres, "tok").select("id", "n", "h", F.col("c.id").alias("cid"),
             F.col("c.n").alias("cn"), F.col("c.h").alias("ch"))
@@ -260,22 +303,30 @@ def jaccard_components(
     mixed = here.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
     members = stored(members.join(mixed, "tok", "left_semi"), "jaccard-members")
     each = members.select("id", "n", "h", "label").distinct()
-    # of two components, the texts of the smaller one look for the larger one
+    # of two components, the texts of the smaller one look for the larger one; a large component's rows are dealt by salt
     sizes = each.groupBy("label").agg(F.struct(F.count("*").alias("c"), "label").alias("size"))
+    salted = sizes.select("label", "size", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("salt")
     there = (
         members.groupBy("tok", "label").agg(F.max("h").alias("oh"), F.min("n").alias("least"), F.max("n").alias("most"))
         .join(sizes, "label").select("tok", F.col("label").alias("other"), F.col("size").alias("larger"), "oh", "least", "most")
     )
     towards = (
-        members.join(sizes, "label").join(there, "tok")
+        members.select("*", salt).join(salted, ["label", "salt"]).join(there, "tok")
         .where((F.col("size") < F.col("larger")) & (100 * F.col("n") >= percent * F.col("least"))
                & (100 * F.col("most") >= percent * F.col("n"))
                & ((100 + percent) * F.least("h", "oh") >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100)))))
         .select("id", "n", "h", "other").distinct()
     )
-    others = each.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"), F.col("label").alias("other"))
+    sketches = prefixes.select("id", "n", "sketch").distinct()
+    others = (
+        each.join(sketches, ["id", "n"]).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"),
+            F.col("sketch").alias("sb"), F.col("label").alias("other"), salt)
+    )
+    towards = towards.join(sketches, ["id", "n"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
     rest = stored(
-        towards.join(others, "other").where(_hot_sizes(percent, "n", "nb", "h", "hb"))
+        towards.join(others, ["other", "salt"])
+        .where(_hot_sizes(percent, "n", "nb", "h", "hb") & _near("sketch", "sb", "n", "nb", percent))
         .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(),
         "jaccard-rest",
     )

@@ -53,3 +53,46 @@ def test_empty_nulls_repeats_and_other_columns(spark):
 def test_given_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert result(df) == plain([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+
+
+def stored_rows(monkeypatch, spark, texts, **more):
+    """Rows of each table that the join stores, and its result."""
+    from slipmark.llm import ngram_jaccard as module
+
+    found, write = {}, module.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        found[name] = out.count()
+        return out
+
+    monkeypatch.setattr(module, "stored", counted)
+    got = result(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), **more)
+    monkeypatch.setattr(module, "stored", write)
+    return found, got
+
+
+def test_texts_of_stock_paragraphs_store_few_pairs(spark, monkeypatch):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    stock = [" ".join(word() for _ in range(40)) for _ in range(24)]
+    texts = [" ".join(draw.sample(stock, 6)) for _ in range(600)]
+    found, got = stored_rows(monkeypatch, spark, texts)
+    assert got == plain(list(enumerate(texts)))
+    assert found["jaccard-rest"] < len(texts) and found["jaccard-pairs"] < 20 * len(texts)
+
+
+def test_common_words_beyond_the_frequent_set_store_few_pairs(spark, monkeypatch):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    common = " ".join(word() for _ in range(64))
+    texts = [common + " " + " ".join(word() for _ in range(120)) for _ in range(300)]
+    found, got = stored_rows(monkeypatch, spark, texts, capacity=4)
+    assert got == plain(list(enumerate(texts)))
+    assert found["jaccard-rest"] < len(texts) and found["jaccard-pairs"] < 20 * len(texts)
+
+
+@pytest.mark.parametrize("light", [1, 3])
+def test_any_bound_of_light_tokens_gives_the_same(spark, rows, light):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(df, min_docs=1000, light=light) == plain(rows)
