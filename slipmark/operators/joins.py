@@ -44,7 +44,9 @@ def cached_logprobs(requests: DataFrame, cache: DataFrame, compute, key: list[st
     ``compute`` maps the missing distinct requests to the same columns.
     """
     wanted = requests.dropDuplicates(key)
-    cache = one_per_key(cache.select(*dict.fromkeys([*key, "logprob", *(latest or [])])), key, latest)
+    # only entries of a request are aggregated
+    asked = cache.select(*dict.fromkeys([*key, "logprob", *(latest or [])])).join(wanted.select(*key), key, "left_semi")
+    cache = one_per_key(asked, key, latest)
     known = wanted.select(*key).join(cache.select(*key, "logprob"), key, "inner")
     missing = wanted.join(cache.select(*key), key, "left_anti")
     values = known.withColumn("cached", F.lit(True)).unionByName(
