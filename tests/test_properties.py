@@ -208,3 +208,20 @@ def test_long_texts(spark):
     ).first()
     assert got.n == 20_000 and got.end == len(many) - len(" apples")
     assert many.startswith(got.x.rsplit(" ", 1)[0]) and len(got.y) == len(many)
+
+
+def test_whole_numbers_are_changed_by_native_columns(spark):
+    """Short whole numbers give what exact sums give, and a query's drawn change is computed in one place."""
+    from slipmark.queries.numbers import perturb_value
+
+    cases = [(n, c) for n in ("1", "9", "10", "1,000", "12,345", "999,999,999,999,999", "999999999999999", "1000000000000000") for c in (-101, -10, -1, 1, 5, 10**15, 2**62)]
+    rows = [(f"{n}{dot}", c) for n, c in cases for dot in ("", ".")]
+    df = spark.createDataFrame(rows, "n string, c long")
+    shown = [numbers.perturb_value(F.col("n"), F.col("c"), pad).alias(f"p{int(pad)}") for pad in (True, False)]
+    for r in df.select("n", "c", *shown).collect():
+        total = int(r.n.replace(",", "").rstrip(".")) + r.c
+        want = f"{total:,}" if "," in r.n else str(total)
+        assert (r.p1, r.p0) == (want + "." * r.n.endswith("."), want), (r.n, r.c)
+    plan = perturb_value(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    projects = [line for line in plan.splitlines() if "md5(" in line]
+    assert len(projects) == 1 and projects[0].count("md5(") <= 3
