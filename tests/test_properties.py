@@ -109,6 +109,28 @@ def test_templated_questions_give_as_many_candidates_as_hits(spark, monkeypatch)
     assert counts[1] <= 2 * counts[0] + 10 and counts[1] <= 2 * 200
 
 
+def test_containment_stores_one_row_for_each_question(spark, monkeypatch):
+    """Questions of all lengths, also shorter ones than any piece: no row per offset, piece or substring is stored."""
+    rng = random.Random(9)
+    line = lambda: "".join(rng.choice("abcdefgh 0123") for _ in range(200))
+    logged = [line() for _ in range(150)] + ["é" * 40 + "ü" * 9, "x"]
+    cuts = [(t := rng.choice(logged))[(a := rng.randint(0, len(t))) : a + rng.randint(0, 150)] for _ in range(300)]
+    asked = cuts + [c[::-1] for c in cuts] + ["é" * 3, "éü", "ü" * 10, "y", "x" * 300]
+    rows, keep = {}, containment.stored
+
+    def counted(df, name="table"):
+        out = keep(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(containment, "stored", counted)
+    q = spark.createDataFrame(list(enumerate(asked)), "id int, question string")
+    got = {r.id for r in containment.drop_contained(q, spark.createDataFrame([(t,) for t in logged], "question string")).collect()}
+    assert got == {i for i, a in enumerate(asked) if not any(a.strip() in t for t in logged)}
+    assert all(n <= len(asked) + len(logged) for name, n in rows.items() if name != "containment-pairs")
+    assert rows["containment-pairs"] <= 2 * len(asked) * 12  # short questions stand in many texts
+
+
 def test_numbering_and_runs_do_not_depend_on_partitions(spark):
     rows = [(f"f{i % 3}", i, "m" + str((i // 7) % 3)) for i in range(500)]
     df = spark.createDataFrame(rows, "log_file string, id long, model string").repartition(13)
