@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from slipmark.functions import noise, numbers, text
 from slipmark.operators import aggregates, filters, joins, ordering
+from slipmark.plans import evaluate
 from slipmark.queries import views as V
 from slipmark.queries.registry import all_queries
 
@@ -57,3 +58,23 @@ def test_filters_reach_the_log_table(spark, tmp_path):
 def test_summary_is_a_partial_aggregate(spark):
     shown = plan(aggregates.score_summary(V.response_log(spark, SMALL), ["model", "style"]))
     assert "partial_count" in shown and "Window" not in shown
+
+
+def test_plain_rows_are_not_shuffled_by_a_few_annotated_keys(spark):
+    """All plain rows may have one model and style; they stay where they are."""
+    plain = spark.range(0, 1000, 1, 4).selectExpr("id", "'m' || id % 2 as model", "if(id % 5 = 0, null, 's') as style")
+    annotated = spark.sql("select 7L as id, 'm1' as model, 's' as style union all select 8L, 'm0', null")
+    made = joins.prefer_annotated(annotated, plain, ["model", "style"])
+    assert "SortMergeJoin" not in plan(made) and "hashpartitioning" not in plan(made)
+    want = [7, 8] + [i for i in range(1000) if not (i % 2 and i % 5)]
+    assert sorted(r.id for r in made.collect()) == sorted(want)
+
+
+def test_an_evaluation_numbers_rows_only_for_its_summary(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(evaluate.aggregates, "chunk_summary", lambda *a, keep=evaluate.aggregates.chunk_summary: calls.append(1) or keep(*a))
+    asked = spark.createDataFrame([(1, "q", "1"), (2, "r", "x")], "id long, question string, target string")
+    run = lambda rows, attempt: rows.select("*", F.lit("1").alias("response"), F.lit("a").alias("start_ts"), F.lit("b").alias("end_ts"))
+    made = evaluate.evaluate_dataset(asked, run, "m", "sbs", "test", ["id"], reruns=0)
+    assert (made.rows.count(), made.failures.count(), calls) == (2, 1, [])
+    assert [r.trials for r in made.summary.collect()] == [1] and len(calls) == 1
